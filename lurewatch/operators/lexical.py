@@ -322,8 +322,10 @@ def public_rules(rules: Column) -> Column:
 
 
 def exploded(df: DataFrame, keys: list[str], rules: str = "rules") -> DataFrame:
-    """One row per finding."""
-    return df.select(*keys, F.explode(rules).alias("_r")).select(
+    """One row per finding. The outer form is used because for the inner one the optimizer adds a
+    filter on the array's size, which would evaluate all rules a second time."""
+    rows = df.select(*keys, F.explode_outer(rules).alias("_r")).where(F.col("_r").isNotNull())
+    return rows.select(
         *keys, F.col("_r.ord").alias("ord"), F.col("_r.name").alias("name"),
         F.col("_r.desc").alias("desc"), F.col("_r.score").alias("score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch.functions import score as S
+from lurewatch.functions.barrier import settled
 from lurewatch.functions.url import with_lookup_host, with_url_parts
 from lurewatch.operators import infra, lexical, threats
 from lurewatch.operators.infra import Observations
@@ -109,7 +110,7 @@ def check(
     keys = [name for name in urls.columns if name != "url"]
     spread = spread or urls.columns
     rows = with_lookup_host(urls.where(F.col("url") != ""))
-    rows = with_whitelisted(rows, whitelist, spread)
+    rows = settled(with_whitelisted(rows, whitelist, spread), "host", "whitelisted")
     open_rows = rows.where(~F.col("whitelisted")).drop("whitelisted")
     scored = with_scores(
         observed(open_rows, threat_table, config, obs, as_of, spread, **options), config)

@@ -132,6 +132,35 @@ SELECT page_id, url,
     WHEN 2 THEN concat(html, '<input name=card_number>') WHEN 3 THEN replace(html, '<title>', '<title lang="x">') ELSE html END AS html,
   page_id % 5 AS n_redirects
 FROM {pages}"""),
+    "page_hosts": ("", """
+SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, min(page_id) AS n FROM {pages}
+GROUP BY regexp_extract(url, '^https?://([^/?#]+)', 1)"""),
+    "dns_all": ("", """
+SELECT host, ip, resolve_ms, mx, ns FROM dns_obs
+UNION ALL SELECT host, concat(CAST(n % 200 + 1 AS VARCHAR(3)), '.9.9.9') AS ip, n % 300 AS resolve_ms, concat('mx.', host) AS mx, CAST(NULL AS VARCHAR(9)) AS ns
+FROM page_hosts"""),
+    "check_targets": ("", """
+SELECT url_id, url FROM url_corpus
+UNION ALL SELECT 2000000 + n AS url_id, concat('http://www.', host, '/login') AS url FROM host_dim
+UNION ALL SELECT 4000000 + n AS url_id, concat('https://', host, '/') AS url FROM host_dim"""),
+    "raw_phishtank": ("", """
+SELECT concat('[{"phish_id":', CAST(url_id AS VARCHAR(20)), ',"url":"', url, '"},{"phish_id":"x","url":"text id"},{"url":"no id ', CAST(url_id AS VARCHAR(20)),
+  '"},{"phish_id":null,"url":"null id"},{"phish_id":1.5,"url":"fraction"},{"phish_id":', CAST(url_id AS VARCHAR(20)), '},5]') AS value FROM url_corpus"""),
+    "raw_urlhaus": ("", """
+SELECT CASE url_id % 7
+  WHEN 0 THEN concat('# ', url)
+  WHEN 1 THEN concat('"', CAST(url_id AS VARCHAR(20)), '","2024-01-01","', url, '"')
+  WHEN 2 THEN concat(CAST(url_id AS VARCHAR(20)), ',x,', url, ',,online', chr(13))
+  WHEN 3 THEN concat(CAST(url_id AS VARCHAR(20)), ',short')
+  WHEN 4 THEN concat(CAST(url_id AS VARCHAR(20)), ',bare"quote,', url)
+  WHEN 5 THEN concat('"', CAST(url_id AS VARCHAR(20)), '","a ""b"", c","', url, '","on"')
+  ELSE '' END AS value FROM url_corpus"""),
+    "raw_lines": ("", """
+SELECT CASE url_id % 7 WHEN 0 THEN '' WHEN 1 THEN concat('# ', url) WHEN 2 THEN concat(url, chr(13)) WHEN 3 THEN concat('  ', url, ' ')
+  WHEN 4 THEN '   ' ELSE url END AS value FROM url_corpus"""),
+    "raw_threatfox": ("", """
+SELECT concat('{"', CAST(url_id AS VARCHAR(20)), '":[{"ioc_value":"', url, '","ioc_type":"url","threat_type":"botnet_cc"},{"ioc_value":"d', CAST(url_id AS VARCHAR(20)),
+  '.example","ioc_type":"domain","threat_type":"payload"},{"ioc_value":"1.2.3.4:80","ioc_type":"ip:port","threat_type":"c2"}],"none', CAST(url_id AS VARCHAR(20)), '":[]}') AS value FROM url_corpus"""),
     "check_requests": ("", """
 SELECT event_id, concat('10.0.0.', CAST(user_id % 40 AS VARCHAR(4))) AS client, ts,
   concat('https://host', CAST(user_id % 50 AS VARCHAR(4)), '.net/p', CAST(event_id % 3 AS VARCHAR(2))) AS url
