@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.functions.barrier import settled
 from lurewatch.functions.url import trimmed
 
 DAY = 86_400
@@ -56,4 +57,4 @@ def with_registration_age(
         "_iso", F.when(F.col("_iso").rlike("^.{5}[A-Za-z]"), numeric).otherwise(F.col("_iso")))
     moment = F.unix_seconds(F.try_to_timestamp("_iso", F.lit("yyyy-MM-dd H:mm:ssXXX")))
     age = F.coalesce(whole_days(as_of_seconds - moment), F.lit(0))
-    return df.select(*kept, age.alias(into))
+    return settled(df.select(*kept, age.alias(into)), into)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.functions.barrier import settled
+
 # --- Fixed values: character sets and patterns of the URL grammar ------------------------------
 
 # Everything Unicode calls white space.
@@ -171,16 +173,15 @@ def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
             "hostname": F.lower(_without_escapes(_host(c("_hostport")))),
             "path": F.when(c("parsed"), _without_escapes(c("_path"))),
             "has_userinfo": c("_authority").contains("@"),
-            "port": _port(c("_hostport")),
+            "port": F.when(c("parsed"), _port(c("_hostport"))),
             "query": F.when(c("parsed"), c("query")),
         }
     )
     df = df.withColumn("clean_host", without_www(c("hostname")))
     df = df.withColumn("tokens", host_tokens(c("clean_host")))
-    return df.select(
-        *kept, "raw", "parsed", "scheme", "hostname", "path", "query", "has_userinfo", "port",
-        "clean_host", "tokens",
-    )
+    added = ["raw", "parsed", "scheme", "hostname", "path", "query", "has_userinfo", "port",
+             "clean_host", "tokens"]
+    return settled(df.select(*kept, *added), *added)
 
 
 def with_lookup_host(df: DataFrame, url: str = "url", host: str = "host") -> DataFrame:
@@ -212,7 +213,8 @@ def with_lookup_host(df: DataFrame, url: str = "url", host: str = "host") -> Dat
             _hostport(c("_authority")),
         ),
     )
-    return df.select(*kept, without_www(_without_escapes(_host(c("_hostport")))).alias(host))
+    named = df.select(*kept, without_www(_without_escapes(_host(c("_hostport")))).alias(host))
+    return settled(named, host)
 
 
 def without_www(host: Column) -> Column:

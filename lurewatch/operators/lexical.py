@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.functions import score as S
 from lurewatch.functions import url as U
+from lurewatch.functions.barrier import settled
 from lurewatch.sources.config import RuleConfig
 
 RULE_TYPE = "struct<rank:int,ord:int,desc:string,name:string,score:int>"
@@ -346,4 +347,4 @@ def with_lexical_score(
     total = S.lexical_score(
         {name: F.col(f"_{name}") for name in S.SEVERITIES}, F.col("_age"),
         present("Typosquatting") & present("Punycode"))
-    return df.select(*[c for c in kept if c != into], total.alias(into))
+    return settled(df.select(*[c for c in kept if c != into], total.alias(into)), into)

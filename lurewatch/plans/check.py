@@ -110,7 +110,7 @@ def check(
     keys = [name for name in urls.columns if name != "url"]
     spread = spread or urls.columns
     rows = with_lookup_host(urls.where(F.col("url") != ""))
-    rows = settled(with_whitelisted(rows, whitelist, spread), "host", "whitelisted")
+    rows = settled(with_whitelisted(rows, whitelist, spread), "whitelisted")
     open_rows = rows.where(~F.col("whitelisted")).drop("whitelisted")
     scored = with_scores(
         observed(open_rows, threat_table, config, obs, as_of, spread, **options), config)
@@ -120,7 +120,7 @@ def check(
             "reason": F.lit("Whitelisted Domain")}
     allowed = rows.where("whitelisted").select(*keys, *[
         safe.get(name, F.lit(None)).cast(types[name]).alias(name) for name in REPORT])
-    return allowed.unionByName(reports)
+    return allowed.unionByName(settled(reports, *REPORT))
 
 
 def report_json(reports: DataFrame) -> DataFrame:

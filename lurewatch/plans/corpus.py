@@ -188,6 +188,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
     """View ``name`` over the tables in ``sf_dir``; ``given`` replaces driver tables (a stream, say)."""
     sql = "WITH " + ",\n".join(view_ctes(name)) + f"\nSELECT * FROM {name}"
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for table in DRIVER_TABLES:
+        sql = sql.replace("{{" + table + "}}", "{" + table + "}")
     tables = {t: given[t] if t in given else load(spark, sf_dir, t)
               for t in DRIVER_TABLES if "{" + t + "}" in sql}
     frame = spark.sql(sql, **tables)
