@@ -70,14 +70,28 @@ def make_rule(name: str, desc: Column, points: Column, order: int | None = None)
     )
 
 
+def sql_text(value: str | int) -> str:
+    """A Python value as an SQL literal."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}L" if abs(value) > 1 << 31 else str(value)
+
+
+def literal_structs(names: list[str], rows: list[tuple]) -> str:
+    """SQL for an array of structs. Configuration goes into a plan as one parsed text: building it from
+    thousands of single literals would take seconds per query."""
+    return "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {sql_text(v)}" for n, v in zip(names, row)) + ")"
+        for row in rows) + ")"
+
+
 def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"cast(array({', '.join(map(sql_text, values))}) as array<string>)")
 
 
 def _scores(table: dict[str, int]) -> Column:
-    if not table:
-        return F.create_map().cast("map<string,int>")
-    return F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    pairs = ", ".join(f"{sql_text(k)}, {v}" for k, v in table.items())
+    return F.expr(f"cast(map({pairs}) as map<string,int>)")
 
 
 class LexicalRules:
@@ -197,17 +211,17 @@ class LexicalRules:
         Two exact bounds keep the edit distance off most pairs: an edit changes the length by at most
         one, so a token meets only the brands of similar length; and an edit changes the set of
         characters by at most two, so the letter sets must nearly agree."""
-        by_length: dict[int, list[Column]] = {}
+        by_length: dict[int, list[tuple]] = {}
         for brand in self.config.brands:
             reach = 2 if len(brand.encode()) >= LOOSE_BRAND_BYTES else 1
-            entry = F.struct(F.lit(brand).alias("name"), F.lit(letter_set(brand)).alias("letters"),
-                             F.lit(reach).alias("reach"))
             for size in range(len(brand) - reach, len(brand) + reach + 1):
-                by_length.setdefault(size, []).append(entry)
+                by_length.setdefault(size, []).append((brand, str(letter_set(brand)), reach))
         if not by_length:
             return empty_rules()
-        candidates = F.create_map(
-            *[x for size, brands in by_length.items() for x in (F.lit(size), F.array(*brands))])
+        arrays = [f"{size}, {literal_structs(['name', 'letters', 'reach'], brands)}"
+                  for size, brands in by_length.items()]
+        shape = "map<int,array<struct<name:string,letters:bigint,reach:int>>>"
+        candidates = F.expr(f"cast(map({', '.join(arrays)}) as {shape})")
 
         def matches(token: Column) -> Column:
             brands = F.filter(
@@ -251,11 +265,12 @@ class LexicalRules:
 
     def _brand_forms(self) -> Column:
         """Each brand with the texts that betray it next to a hyphen or as a parent label."""
-        forms = [F.struct(F.lit(b).alias("name"), F.lit(f"{b}-").alias("before"),
-                          F.lit(f"-{b}").alias("after"), F.lit(f"{b}.").alias("parent"))
-                 for b in self.config.brands]
-        return F.array(*forms) if forms else F.array().cast(
-            "array<struct<name:string,before:string,after:string,parent:string>>")
+        if not self.config.brands:
+            return F.expr(
+                "cast(array() as array<struct<name:string,before:string,after:string,parent:string>>)")
+        return F.expr(literal_structs(
+            ["name", "before", "after", "parent"],
+            [(b, f"{b}-", f"-{b}", f"{b}.") for b in self.config.brands]))
 
     def _entropic_tokens(self) -> Column:
         found = F.filter(self.tokens, lambda token: (F.octet_length(token) > 5)
@@ -278,10 +293,12 @@ def any_of(words: list[str]) -> str:
     branches: dict[str, list[str]] = {}
     for word in words:
         branches.setdefault(word[:1], []).append(word[1:])
-    if "" in branches:  # a word ends here, so longer ones need no look
+    ends_here = branches.pop("", None) is not None
+    if not branches:
         return ""
-    return "(?:" + "|".join(
+    longer = "(?:" + "|".join(
         re.escape(char) + any_of(rest) for char, rest in branches.items()) + ")"
+    return longer + "?" if ends_here else longer
 
 
 def letter_set(text: str) -> int:

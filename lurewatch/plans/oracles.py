@@ -248,8 +248,8 @@ FROM (SELECT url_id, score FROM {p}hits UNION ALL SELECT url_id, score FROM {p}i
 SELECT url_id, url AS target, CASE WHEN n_lists > 0 THEN 'Dangerous' WHEN risk_score < 20 THEN 'Safe' WHEN risk_score < 60 THEN 'Suspicious' ELSE 'Dangerous' END AS verdict,
   risk_score, CASE WHEN n_lists > 0 THEN 'Found in Blacklist' WHEN n > 0 THEN 'Suspicious Activity Detected' END AS reason,
   coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_low, 0) AS n_low, n_lists::INT AS n_lists
-FROM (SELECT f.*, s.n, c.*, CASE WHEN n_lists > 0 THEN 100 ELSE least(i.infra_score + CASE WHEN i.infra_score < 100 THEN s.lexical_score ELSE 0 END, 100) END::INT AS risk_score
-  FROM {p}open JOIN (SELECT * EXCLUDE (url) FROM {p}facts) f USING (url_id) JOIN {p}scores s USING (url_id) JOIN {p}infra i USING (url_id) LEFT JOIN {p}counts c USING (url_id))
+FROM (SELECT o.url, f.*, s.n, c.* EXCLUDE (url_id), CASE WHEN n_lists > 0 THEN 100 ELSE least(i.infra_score + CASE WHEN i.infra_score < 100 THEN s.lexical_score ELSE 0 END, 100) END::INT AS risk_score
+  FROM {p}open o JOIN (SELECT * EXCLUDE (url) FROM {p}facts) f ON f.url_id = o.url_id JOIN {p}scores s ON s.url_id = o.url_id JOIN {p}infra i ON i.url_id = o.url_id LEFT JOIN {p}counts c ON c.url_id = o.url_id)
 UNION ALL SELECT url_id, url, 'Safe', 0, 'Whitelisted Domain', 0, 0, 0, 0, 0 FROM {p}white""",
         f"{p}signals": f"""
 SELECT url_id, row_number() OVER (PARTITION BY url_id ORDER BY part, k1, k2, k3, k4)::INT AS pos, signal FROM (
