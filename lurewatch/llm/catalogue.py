@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import mixing
+from lurewatch.llm import fingerprints, mixing, packing
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -26,3 +26,15 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_mixing"] = mixing.ORACLE
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and where they lie."""
+    return packing.packed(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text, its edited text and the likeness to the next text."""
+    return fingerprints.fingerprinted(table(spark, folder, "documents").select("doc_id", "text"))
