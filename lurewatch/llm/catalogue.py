@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import fingerprints, mixing, packing
+from lurewatch.llm import fingerprints, mixing, packing, secrets
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -34,6 +34,15 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every text."""
+    return secrets.report(table(spark, folder, "documents"))
+
+
+ORACLES["op8_secrets"] = secrets.oracle()
+
+
 @query
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text, its edited text and the likeness to the next text."""
