@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lurewatch.llm import fingerprints, mixing, packing, secrets
+from lurewatch.llm import fingerprints, mixing, packing, quality, secrets, toxicity
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -47,3 +47,19 @@ ORACLES["op8_secrets"] = secrets.oracle()
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every text, its edited text and the likeness to the next text."""
     return fingerprints.fingerprinted(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Category probabilities of every text, and whether it is rejected."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.judged(docs, table(spark, folder, "labels"))
+    return found.select("doc_id", "p_junk", "p_toxic", "rejected")
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and tail probabilities of every text, and whether it is kept."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.graded(docs, table(spark, folder, "labels"))
+    return found.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", "kept")
