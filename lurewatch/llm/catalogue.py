@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lurewatch.llm import fingerprints, mixing, packing, quality, secrets, toxicity
+from lurewatch.llm import fingerprints, jaccard, mixing, packing, quality, secrets, toxicity
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -63,3 +64,11 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = quality.graded(docs, table(spark, folder, "labels"))
     return found.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", "kept")
+
+
+@query
+def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class and number of links of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = jaccard.classes(docs)
+    return found.select(F.col("node").alias("doc_id"), "class_id", "n_links", "n_text_links")
