@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import fingerprints, jaccard, mixing, packing, quality, secrets, toxicity
+from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, secrets, toxicity
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -72,3 +72,9 @@ def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = jaccard.classes(docs)
     return found.select(F.col("node").alias("doc_id"), "class_id", "n_links", "n_text_links")
+
+
+@query
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found of every 20th vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"))
