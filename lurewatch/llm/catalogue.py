@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, secrets, toxicity
+from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, repeats, secrets, toxicity
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -78,3 +78,9 @@ def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors found of every 20th vector."""
     return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document keeps without the 50-byte strings of earlier documents."""
+    return repeats.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
