@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, repeats, secrets, toxicity
+from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, repeats, secrets, toxicity, urlfilters
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -17,6 +17,16 @@ def query(function):
     return function
 
 
+@query
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a capture, judged by dated list entries made from the pages."""
+    pages = table(spark, folder, "pages")
+    return urlfilters.filtered(urlfilters.page_captures(pages), urlfilters.page_entries(pages))
+
+
+ORACLES["op1_url_filters"] = urlfilters.ORACLE
+
+
 @query
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What the mix takes of every document."""
