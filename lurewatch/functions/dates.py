@@ -28,6 +28,8 @@ NOTATIONS = [
     (rf"^(\d{{4}})-(\d\d)-(\d\d) +{TIME} +\+0000\z", "$1-$2-$3 $4Z"),
 ]
 
+CUT_NOTATION = NOTATIONS[2][0]  # the only one a text with a bracket is tried against
+
 # -----------------------------------------------------------------------------------------------
 
 
@@ -40,7 +42,7 @@ def with_registration_age(
     df: DataFrame, created: str, as_of_seconds: Column, into: str = "domain_age_days",
 ) -> DataFrame:
     """Add the days since a registration date in any known notation; 0 when it is missing or cannot be
-    read. A text with ``(`` is read by its first ten characters. Without a zone the date is taken as
+    read. A text with ``(`` is read by its first ten characters, as year, month and day. Without a zone the date is taken as
     UTC; fractions of a second are dropped."""
     kept = [name for name in df.columns if name != into]
     text = trimmed(F.col(created))
@@ -48,7 +50,10 @@ def with_registration_age(
         "_text", F.when(text.contains("("), F.substr(text, F.lit(1), F.lit(10))).otherwise(text))
     iso = F
     for pattern, parts in NOTATIONS:
-        iso = iso.when(F.col("_text").rlike(pattern), F.regexp_replace("_text", pattern, parts))
+        fits = F.col("_text").rlike(pattern)
+        if pattern != CUT_NOTATION:
+            fits = fits & ~text.contains("(")
+        iso = iso.when(fits, F.regexp_replace("_text", pattern, parts))
     df = df.withColumn("_iso", iso)
     position = F.instr(F.lit(MONTHS.lower()), F.lower(F.substring("_iso", 6, 3)))
     number = F.lpad(((position + 2) / 3).cast("int").cast("string"), 2, "0")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,19 +43,23 @@ def _marked(
     events: DataFrame, key: str, time: str, order: str, seconds: int, large_rows: int,
 ) -> tuple[DataFrame, DataFrame | None]:
     """``events`` with their ``window_start``: rows of ordinary keys with their ``_position`` in the
-    window, and rows of large keys, if there are any, with ``opens``."""
+    window, and rows of large keys, if there are any, with ``opens``. Rows without key or time are in
+    no window; they come with the ordinary ones, with NULL in both columns."""
     length = seconds * 1_000_000
     timed = events.withColumn("_us", F.unix_micros(time))
+    placed = F.col(key).isNotNull() & F.col("_us").isNotNull()
+    outside = timed.where(~placed).withColumns({
+        "_position": F.lit(None).cast("bigint"), "_start": F.lit(None).cast("bigint")})
+    timed = timed.where(placed)
 
     def timestamps(df: DataFrame) -> DataFrame:
         return df.withColumn("window_start", F.timestamp_micros("_start")).drop("_us", "_start")
 
     large = hot_keys(timed.select(key), key, large_rows + 1)
     if large.isEmpty():
-        return timestamps(_streamed(timed, key, order, length)), None
-    # The list is bounded by the number of hot keys; what is beyond it is streamed.
-    names = F.broadcast(large.select(key))
-    small = _streamed(timed.join(names, key, "left_anti"), key, order, length)
+        return timestamps(_streamed(timed, key, order, length).unionByName(outside)), None
+    names = checkpointed(large.select(key))
+    small = _streamed(timed.join(names, key, "left_anti"), key, order, length).unionByName(outside)
     big = _by_doubling(timed.join(names, key, "left_semi"), key, order, length)
     return timestamps(small), timestamps(big)
 
@@ -65,17 +70,28 @@ def _streamed(timed: DataFrame, key: str, order: str, length: int) -> DataFrame:
                        + ["_position bigint", "_start bigint"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, start, position = None, 0, 0
+        current, start, position = None, 0, 0  # the open window and its rows so far
         for batch in batches:
-            positions, starts = [], []
-            for name, moment in zip(batch.column(key).to_pylist(), batch.column("_us").to_pylist()):
-                if name != current or moment >= start + length:
-                    current, start, position = name, moment, 0
-                position += 1
-                positions.append(position)
-                starts.append(start)
+            if not batch.num_rows:
+                continue
+            moments = batch.column("_us").to_numpy()
+            positions, starts = np.empty(len(moments), np.int64), np.empty(len(moments), np.int64)
+            names = batch.column(key).dictionary_encode()
+            codes = names.indices.to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1], [True]]))
+            for at, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                name = names.dictionary[codes[at]].as_py()
+                if name != current:
+                    current, start, position = name, int(moments[at]), 0
+                while at < end:
+                    if moments[at] >= start + length:
+                        start, position = int(moments[at]), 0
+                    upto = at + int(np.searchsorted(moments[at:end], start + length))
+                    starts[at:upto] = start
+                    positions[at:upto] = np.arange(position + 1, position + 1 + upto - at)
+                    position, at = position + upto - at, upto
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(positions, pa.int64()), pa.array(starts, pa.int64())],
+                [*batch.columns, pa.array(positions), pa.array(starts)],
                 [*batch.schema.names, "_position", "_start"])
 
     ordered = timed.repartition(key).sortWithinPartitions(key, "_us", order)
@@ -129,9 +145,10 @@ def _next_moments(moments: DataFrame, key: str, length: int) -> DataFrame:
     in_block = Window.partitionBy(key, "_block").orderBy(F.desc("_at"), F.col("_seen").desc())
     both = both.withColumn("_hit", F.last("_seen", ignorenulls=True).over(
         in_block.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    later = Window.partitionBy(key).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    # In falling order the blocks before a row are the later ones; such a frame is extended row by row.
+    later = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = both.groupBy(key, "_block").agg(F.min("_seen").alias("_min"))
-    blocks = blocks.withColumn("_later", F.first("_min", ignorenulls=True).over(later))
+    blocks = blocks.withColumn("_later", F.last("_min", ignorenulls=True).over(later))
     probed = both.where(F.col("_us").isNotNull())
     joined = probed.join(blocks.select(key, "_block", "_later"), [key, "_block"])
     return joined.select(key, "_us", F.coalesce("_hit", "_later").alias("_next")).where(

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.operators.joins import fits_broadcast, lookup_join
+from lurewatch.operators.joins import lookup_join
 
-# Ranges are cut into blocks so that the lookup is an equi-join: wide ranges into /8 blocks, others
-# into /16 blocks. A range is cut into at most 257 blocks, and a /16 block holds at most 65,536
-# addresses, however many rows share them.
-WIDE, NARROW = 1 << 24, 1 << 16
+# Ranges are cut into prefixes, as in address blocks: a range of 32-bit numbers has at most 62. An
+# address looks up its prefix of every length, so that all joins are on equal keys.
+BITS = 32
 
 
 def ip_number(ip: Column) -> Column:
@@ -21,26 +20,42 @@ def ip_number(ip: Column) -> Column:
     return F.when(ip.rlike(rf"^({octet}\.){{3}}{octet}\z"), number)
 
 
-def _blocks(ranges: DataFrame) -> DataFrame:
-    """Each range once per block it touches, keyed by block size and block number."""
-    size = F.when(
-        F.col("end_ip") - F.col("start_ip") >= WIDE, F.lit(WIDE)).otherwise(F.lit(NARROW)).cast("bigint")
-    df = ranges.withColumn("_size", size)
-    return df.withColumn("_block", F.explode(F.sequence(
-        F.floor(F.col("start_ip") / F.col("_size")), F.floor(F.col("end_ip") / F.col("_size")))))
+def _prefixes(ranges: DataFrame) -> DataFrame:
+    """Each range once per prefix it consists of: ``_size`` (free bits) and ``_block``.
+
+    From the shortest blocks up, an odd first block and an odd end are split off and the rest is
+    halved."""
+    block = "array<struct<_size:int,_block:bigint>>"
+    start = F.struct(F.col("start_ip").alias("low"), (F.col("end_ip") + 1).alias("high"), F.array().cast(block).alias("found"))
+
+    def halve(state, size):
+        open_ = state["low"] < state["high"]
+        first = open_ & (state["low"] % 2 == 1)
+        low = state["low"] + F.when(first, 1).otherwise(0)
+        last = (low < state["high"]) & (state["high"] % 2 == 1)
+        high = state["high"] - F.when(last, 1).otherwise(0)
+
+        def taken(use, at):
+            return F.when(use, F.array(F.struct(size.alias("_size"), at.alias("_block")))).otherwise(F.array().cast(block))
+
+        return F.struct(
+            F.when(open_, F.floor(low / 2)).otherwise(low).cast("bigint").alias("low"),
+            F.when(open_, F.floor(high / 2)).otherwise(high).cast("bigint").alias("high"),
+            F.concat(state["found"], taken(first, state["low"]), taken(last, high)).alias("found"))
+
+    sizes = F.sequence(F.lit(0), F.lit(BITS))
+    cut = ranges.withColumns({"start_ip": F.col("start_ip").cast("bigint"), "end_ip": F.col("end_ip").cast("bigint")})
+    return cut.select("*", F.inline(F.aggregate(sizes, start, halve, lambda s: s["found"])))
 
 
 def range_lookup(addresses: DataFrame, ranges: DataFrame, values: list[str]) -> DataFrame:
     """For distinct ``ip, number`` rows, the values of the narrowest range holding the number.
     Addresses in no range are left out."""
-    blocks = _blocks(ranges.select("start_ip", "end_ip", *values))
-    if fits_broadcast(blocks):
-        blocks = F.broadcast(blocks)
-    sizes = F.array(*[F.lit(size).cast("bigint") for size in (WIDE, NARROW)])
-    probes = addresses.select("*", F.explode(sizes).alias("_size")).withColumn(
-        "_block", F.floor(F.col("number") / F.col("_size")))
-    hits = probes.join(blocks, ["_size", "_block"]).where(
-        F.col("number").between(F.col("start_ip"), F.col("end_ip")))
+    blocks = _prefixes(ranges.select("start_ip", "end_ip", *values))
+    probes = addresses.where(F.col("number").isNotNull()).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("_size")).withColumn(
+        "_block", F.floor(F.col("number") / F.pow(F.lit(2.0), F.col("_size"))))
+    hits = probes.join(blocks, ["_size", "_block"])
     best = F.min_by(F.struct(*values), F.struct(
         F.col("end_ip") - F.col("start_ip"), F.col("start_ip")))
     return hits.groupBy("ip").agg(best.alias("_best")).select("ip", "_best.*")
@@ -57,18 +72,18 @@ def geo_lookup(
     addresses = df.select(F.col(ip).alias("ip")).where(F.col("ip").isNotNull()).distinct()
     numbered = addresses.withColumn("number", ip_number(F.col("ip")))
     found = addresses
-    no_text, no_number = F.lit(""), F.lit(0).cast("int")
+    no_text, no_number = F.lit(""), F.lit(0).cast("bigint")
     if country_ranges is not None:
         found = found.join(range_lookup(numbered, country_ranges, ["country"]), "ip", "left")
     else:
         found = found.withColumn("country", F.lit(None).cast("string"))
     if asn_ranges is not None:
-        named = asn_ranges.select("start_ip", "end_ip", F.col("asn").cast("int").alias("asn"),
+        named = asn_ranges.select("start_ip", "end_ip", F.col("asn").cast("bigint").alias("asn"),
                                   F.col("org").alias("isp"))
         found = found.join(range_lookup(numbered, named, ["isp", "asn"]), "ip", "left")
         found = found.withColumn("isp", F.coalesce("isp", no_text))
     else:
-        found = found.withColumns({"isp": F.lit("Unknown"), "asn": F.lit(None).cast("int")})
+        found = found.withColumns({"isp": F.lit("Unknown"), "asn": F.lit(None).cast("bigint")})
     found = found.select(F.col("ip").alias(ip), F.coalesce("country", no_text).alias("country"),
                          "isp", F.coalesce("asn", no_number).alias("asn"))
     return lookup_join(df, found, ip, spread, **options)

@@ -1,6 +1,6 @@
 """Infrastructure facts and rules, from observation tables.
 
-Observations (one row per host, or per URL for pages):
+Observations (the first row per host counts, by ``seq`` where given; one row per URL for pages):
 
 * ``dns``: host, ip, resolve_ms, mx ARRAY, ns ARRAY; no row or a NULL ip means the host is offline
 * ``tls``: host, has_cert, issuer, not_before_s, not_after_s; no row means no TLS connection
@@ -177,17 +177,28 @@ def infra_sum(rules: Column) -> Column:
         rule["name"].isin(SCORING), rule["score"]).otherwise(0))
 
 
+def _one_per_host(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The first observation of each host: by ``seq`` where the table has it, else the smallest."""
+    order = ["seq"] if "seq" in df.columns else []
+    first = F.min(F.struct(*order, *columns)).alias("_first")
+    return df.groupBy("host").agg(first).select("host", *[F.col(f"_first.{c}").alias(c) for c in columns])
+
+
 def host_facts(obs: Observations, config: RuleConfig, as_of: Column) -> DataFrame:
     """Everything known about each observed host, one row per host.
 
-    Columns: host, online, ip, country, isp, asn, tls, mx, ns, host_rules, whois. All inputs hold a
-    host once, so the joins here have no skew; only addresses may repeat, and those are looked up
-    once per distinct address."""
-    online = obs.dns.where(F.col("ip").isNotNull()).select("host", "ip", "resolve_ms", "mx", "ns")
+    Columns: host, online, ip, country, isp, asn, tls, mx, ns, host_rules, whois. Every input is
+    reduced to one row per host, so the joins here have no skew; only addresses may repeat, and those
+    are looked up once per distinct address."""
+    online = _one_per_host(obs.dns.where(F.col("ip").isNotNull()), ["ip", "resolve_ms", "mx", "ns"])
     located = geo_lookup(online, obs.asn_ranges, obs.country_ranges, spread=["host"])
-    tls = obs.tls.select("host", tls_facts(as_of).alias("tls"))
+    tls = _one_per_host(obs.tls, ["has_cert", "issuer", "not_before_s", "not_after_s"])
+    tls = tls.select("host", tls_facts(as_of).alias("tls"))
     whois = obs.whois
-    expires = F.col("expires_raw") if "expires_raw" in whois.columns else F.lit(None).cast("string")
+    if "expires_raw" not in whois.columns:
+        whois = whois.withColumn("expires_raw", F.lit(None).cast("string"))
+    whois = _one_per_host(whois, ["registrar", "created_raw", "expires_raw"])
+    expires = F.col("expires_raw")
     whois = with_registration_age(whois, "created_raw", as_of).select("host", F.struct(
         "registrar", F.col("created_raw").alias("created_date"), expires.alias("expires_date"),
         "domain_age_days").alias("whois"))

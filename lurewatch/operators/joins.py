@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast only when it was counted and found within both bounds.
+# A micro-batch's keys are broadcast only when they were counted and measured within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
-# A key is hot from this many rows on; at most this many keys are treated as hot, which bounds the
-# list of hot keys. Keys beyond the list are joined like any other key.
-HOT_ROWS = 2_000_000
-HOT_KEYS = 1_000
-
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Count at most ``rows + 1`` rows of the frame and measure them as JSON text."""
+    """Count at most ``rows + 1`` rows of a small frame and measure them as JSON text."""
     seen = df.limit(rows + 1).agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
@@ -24,49 +19,45 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return seen["rows"] <= rows and seen["size"] <= size
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS, keys: int = HOT_KEYS) -> DataFrame:
-    """The keys with at least ``rows`` rows (the largest ``keys`` of them) with their ``copies``: the
-    number of slices a key is cut into. Counting is partially done before the shuffle."""
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """All keys with at least ``rows`` rows, with their ``copies``: the number of slices a key is cut
+    into. Counting is partially done before the shuffle."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") >= rows).orderBy(F.desc("_n"), key).limit(keys)
+    hot = counts.where(F.col("_n") >= rows)
     return hot.select(key, (F.ceil(F.col("_n") / rows) + 1).cast("int").alias("copies"))
 
 
 def lookup_join(
     left: DataFrame, right: DataFrame, key: str, spread: list[str],
-    how: str = "left", hot_rows: int = HOT_ROWS, broadcast: bool | None = None,
+    how: str = "left", hot_rows: int | None = None, broadcast: bool = False,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds each key at most once.
 
-    A small ``right`` is broadcast. Otherwise both sides are shuffled, and the rows of hot keys are
-    spread over slices by a hash of the ``spread`` columns while the one matching row is copied to
-    every slice. The hash depends on column values only, so a retried task slices in the same way.
-    Rows with a NULL key match nothing; they are spread as well.
-    """
-    if broadcast is None:
-        broadcast = fits_broadcast(right)
+    Nothing is run while the plan is built. Both sides are shuffled by the key; adaptive execution
+    broadcasts a side that turns out small and splits the partitions of common keys, which copies
+    only the one matching row. Rows with a NULL key match nothing and are spread by a hash of the
+    ``spread`` columns. A caller who knows the size may ask for a broadcast. Where adaptive execution
+    is off, ``hot_rows`` cuts keys of that many rows into slices; it reads ``left`` twice."""
     if broadcast:
         return left.join(F.broadcast(right), key, how)
-    hot = F.broadcast(hot_keys(left, key, hot_rows))
     mixed = F.xxhash64(*spread)
-    slot = (
-        F.when(F.col(key).isNull(), mixed)
-        .when(F.col("copies").isNotNull(), F.pmod(mixed, F.col("copies").cast("bigint")))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-    sliced = left.join(hot, key, "left").withColumn("_slice", slot).drop("copies")
-    copies = right.join(hot, key, "left").withColumn(
-        "_slice",
-        F.explode(F.sequence(F.lit(0).cast("bigint"),
-                             F.coalesce(F.col("copies") - 1, F.lit(0)).cast("bigint"))),
-    ).drop("copies")
     # The join columns are never NULL, so that rows without a key spread over partitions as well.
-    pair_key = [F.coalesce(F.col(key), F.lit("")).alias("_key")]
-    sliced = sliced.select("*", *pair_key, F.col(key).isNull().alias("_null"))
-    copies = copies.where(F.col(key).isNotNull()).select(
-        "*", *pair_key, F.lit(False).alias("_null")).drop(key)
-    joined = sliced.join(copies, ["_key", "_null", "_slice"], how)
-    return joined.drop("_key", "_null", "_slice")
+    slot = F.when(F.col(key).isNull(), mixed.bitwiseOR(F.lit(1).cast("bigint")))
+    none = F.lit(0).cast("bigint")
+    right = right.where(F.col(key).isNotNull())
+    if hot_rows is None:
+        sliced = left.withColumn("_slice", slot.otherwise(none))
+        copies = right.withColumn("_slice", none)
+    else:
+        hot = hot_keys(left, key, hot_rows)
+        cut = slot.when(F.col("copies").isNotNull(), -1 - F.pmod(mixed, F.col("copies").cast("bigint")))
+        sliced = left.join(hot, key, "left").withColumn("_slice", cut.otherwise(none)).drop("copies")
+        copies = right.join(hot, key, "left").withColumn("_slice", F.explode(
+            F.when(F.col("copies").isNull(), F.array(none)).otherwise(F.transform(
+                F.sequence(F.lit(1), "copies"), lambda i: -i.cast("bigint"))))).drop("copies")
+    sliced = sliced.withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_null": F.col(key).isNull()})
+    copies = copies.select("*", F.col(key).alias("_key"), F.lit(False).alias("_null")).drop(key)
+    return sliced.join(copies, ["_key", "_null", "_slice"], how).drop("_key", "_null", "_slice")
 
 
 def flag(condition: Column) -> Column:

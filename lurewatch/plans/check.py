@@ -44,8 +44,11 @@ def observed(
 ) -> DataFrame:
     """URL rows that have ``host``, joined with everything known about URL and host. Two lookups,
     first by URL hash, then by host; rows are narrow while they are moved."""
-    df = lookup_join(threats.with_hash(urls), url_facts(threat_table, obs.http), "url_hash", spread,
-                     **options)
+    rows = threats.with_hash(urls)
+    if "whitelisted" in urls.columns:  # these look nothing up: rows without a key match nothing
+        for name in ("url_hash", "host"):
+            rows = rows.withColumn(name, F.when(~F.col("whitelisted"), F.col(name)))
+    df = lookup_join(rows, url_facts(threat_table, obs.http), "url_hash", spread, **options)
     df = df.withColumn("host", F.when(F.col("host") != "", F.col("host")))
     return lookup_join(df, infra.host_facts(obs, config, as_of), "host", spread, **options)
 
@@ -104,23 +107,19 @@ def check(
 ) -> DataFrame:
     """One report per row of ``urls`` (rows without a URL are left out, see ``reject_empty``).
 
-    Columns of ``urls`` other than ``url`` are kept. Allow-listed rows leave early and take no part in
-    the lookups. ``as_of`` is the moment of the check in epoch seconds; ``spread`` names columns that
+    Columns of ``urls`` other than ``url`` are kept. Allow-listed rows have no key in the lookups. ``as_of`` is the moment of the check in epoch seconds; ``spread`` names columns that
     tell rows of one URL apart."""
     keys = [name for name in urls.columns if name != "url"]
     spread = spread or urls.columns
     rows = with_lookup_host(urls.where(F.col("url") != ""))
     rows = settled(with_whitelisted(rows, whitelist, spread), "whitelisted")
-    open_rows = rows.where(~F.col("whitelisted")).drop("whitelisted")
-    scored = with_scores(
-        observed(open_rows, threat_table, config, obs, as_of, spread, **options), config)
-    reports = _report(keys, scored)
-    types = {field.name: field.dataType for field in reports.schema}
-    safe = {"target": F.col("url"), "verdict": F.lit("Safe"), "risk_score": F.lit(0),
+    scored = with_scores(observed(rows, threat_table, config, obs, as_of, spread, **options), config)
+    reports = _report([*keys, "whitelisted"], scored)
+    safe = {"target": F.col("target"), "verdict": F.lit("Safe"), "risk_score": F.lit(0),
             "reason": F.lit("Whitelisted Domain")}
-    allowed = rows.where("whitelisted").select(*keys, *[
-        safe.get(name, F.lit(None)).cast(types[name]).alias(name) for name in REPORT])
-    return allowed.unionByName(settled(reports, *REPORT))
+    return settled(reports.select(*keys, *[
+        F.when(F.col("whitelisted"), safe.get(name, F.lit(None))).otherwise(F.col(name)).alias(name)
+        for name in REPORT]), *REPORT)
 
 
 def report_json(reports: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def _config_views() -> dict[str, tuple[str, str]]:
 VIEWS: dict[str, tuple[str, str]] = {
     **_config_views(),
     "url_corpus": ("", """
-SELECT page_id AS url_id, url FROM {pages}
+SELECT page_id * 11 AS url_id, url FROM {pages}
 UNION ALL
-SELECT 1000000 + c_custkey AS url_id,
+SELECT c_custkey * 11 + 1 AS url_id,
   CASE c_custkey % 30
     WHEN 0  THEN concat('http://', b.name, '-login', c.k, '.xyz/verify')
     WHEN 1  THEN concat('https://', b.name, '.com/')
@@ -83,9 +83,9 @@ SELECT url,
   CASE (url_id + d) % 8 WHEN 0 THEN CAST(url_id AS VARCHAR(20)) WHEN 1 THEN CAST(url_id AS VARCHAR(20)) WHEN 3 THEN CAST(url_id AS VARCHAR(20)) ELSE '' END AS external_id,
   CASE (url_id + d) % 8 WHEN 1 THEN '' WHEN 3 THEN 'botnet_cc' WHEN 5 THEN 'malware' WHEN 6 THEN 'spam' ELSE 'phishing' END AS threat_type,
   seq
-FROM (SELECT url_id, url, 0 AS d, url_id AS seq FROM url_corpus WHERE url_id % 5 = 0
-      UNION ALL SELECT url_id, url, 1 AS d, 2000000 + url_id AS seq FROM url_corpus WHERE url_id % 10 = 0
-      UNION ALL SELECT url_id, url, 0 AS d, 4000000 + url_id AS seq FROM url_corpus WHERE url_id % 15 = 0) x"""),
+FROM (SELECT url_id, url, 0 AS d, url_id * 4 AS seq FROM url_corpus WHERE url_id % 5 = 0
+      UNION ALL SELECT url_id, url, 1 AS d, url_id * 4 + 1 AS seq FROM url_corpus WHERE url_id % 10 = 0
+      UNION ALL SELECT url_id, url, 0 AS d, url_id * 4 + 2 AS seq FROM url_corpus WHERE url_id % 15 = 0) x"""),
     "host_dim": ("", """
 SELECT c_custkey AS n, concat('host', CAST(c_custkey AS VARCHAR(20)), '.net') AS host FROM {customer}"""),
     "dns_obs": ("", """
@@ -103,7 +103,7 @@ SELECT host, n % 30 <> 1 AS has_cert,
 FROM host_dim WHERE n % 6 <> 0"""),
     "whois_obs": ("", """
 SELECT host, 'MAXNAME' AS registrar,
-  CASE n % 11
+  CASE n % 13
     WHEN 0 THEN concat(y, '-', m, '-', d, 'T18:37:09Z')
     WHEN 1 THEN concat(y, '-', m, '-', d, 'T18:37:09+05:00')
     WHEN 2 THEN concat(y, '-', m, '-', d, ' 18:37:09')
@@ -114,12 +114,14 @@ SELECT host, 'MAXNAME' AS registrar,
     WHEN 7 THEN concat('Mon Jan ', d, ' 15:04:05 ', y)
     WHEN 8 THEN concat(y, '-', m, '-', d, ' 18:37:09 (GMT+0:00)')
     WHEN 9 THEN concat(y, '-', m, '-', d, ' 18:37:09 +0000')
+    WHEN 10 THEN concat(d, '.', m, '.', y, ' (MSK)')
+    WHEN 11 THEN concat(y, '.', m, '.', d, ' (x)')
     ELSE CASE WHEN n % 2 = 0 THEN '' ELSE 'before 1996' END
   END AS created_raw
 FROM (SELECT host, n, CAST(2005 + n % 21 AS VARCHAR(4)) AS y, lpad(CAST(n % 11 + 1 AS VARCHAR(2)), 2, '0') AS m,
              lpad(CAST(n % 28 + 1 AS VARCHAR(2)), 2, '0') AS d FROM host_dim WHERE n % 7 <> 0) h"""),
     "asn_ranges": ("", """
-SELECT (s_suppkey + 1) * 16777216 AS start_ip, (s_suppkey + 1) * 16777216 + 16777215 AS end_ip, 64000 + s_suppkey AS asn,
+SELECT (s_suppkey + 1) * 16777216 AS start_ip, (s_suppkey + 1) * 16777216 + 16777215 AS end_ip, CASE WHEN s_suppkey % 2 = 0 THEN 4200000000 ELSE 64000 END + s_suppkey AS asn,
   CASE WHEN s_suppkey % 3 = 0 THEN 'ACME Telecom' ELSE concat(upper(h.pattern), ' Hosting') END AS org
 FROM {supplier} JOIN config_hosting h ON h.id = s_suppkey % 20 + 1"""),
     "country_ranges": ("", """
@@ -141,8 +143,8 @@ UNION ALL SELECT host, concat(CAST(n % 200 + 1 AS VARCHAR(3)), '.9.9.9') AS ip,
 FROM page_hosts"""),
     "check_targets": ("", """
 SELECT url_id, url FROM url_corpus
-UNION ALL SELECT 2000000 + n AS url_id, concat('http://www.', host, '/login') AS url FROM host_dim
-UNION ALL SELECT 4000000 + n AS url_id, concat('https://', host, '/') AS url FROM host_dim"""),
+UNION ALL SELECT n * 11 + 2 AS url_id, concat('http://www.', host, '/login') AS url FROM host_dim
+UNION ALL SELECT n * 11 + 3 AS url_id, concat('https://', host, '/') AS url FROM host_dim"""),
     "raw_phishtank": ("", """
 SELECT concat('[{"phish_id":', CAST(url_id AS VARCHAR(20)), ',"url":"', url, '"},{"phish_id":"x","url":"text id"},{"url":"no id ', CAST(url_id AS VARCHAR(20)),
   '"},{"phish_id":null,"url":"null id"},{"phish_id":1.5,"url":"fraction"},{"phish_id":', CAST(url_id AS VARCHAR(20)), '},5]') AS value FROM url_corpus"""),

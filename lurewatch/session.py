@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,14 +36,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="lurewatch-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df):
-    """Cut lineage through a reliable checkpoint in the shared folder."""
+    """Cut lineage: the rows, computed once and written to the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark, "lineage"))
-    return df.checkpoint()
+    path = shared_folder(spark, "lineage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

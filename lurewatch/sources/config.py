@@ -91,9 +91,8 @@ TRUSTED_ISPS = ["google", "amazon", "cloudflare", "microsoft", "fastly", "akamai
 
 # -----------------------------------------------------------------------------------------------
 
-# A configuration table is a curated list that becomes literals in the plan. Its size is checked
-# when it is loaded; the allow-list has no such limit, because it can also be joined.
-MAX_ENTRIES = 5_000
+# A configuration table is a curated list that is read by the driver and becomes literals in the plan.
+# There is no limit on its entries; the allow-list, which may be long, can also be joined.
 
 SCHEMAS = {
     "brands": "id int, name string",
@@ -106,10 +105,6 @@ SCHEMAS = {
 }
 
 
-class ConfigTooLarge(ValueError):
-    """A configuration table holds more entries than the plan may carry as literals."""
-
-
 @dataclass(frozen=True)
 class RuleConfig:
     """The six configuration tables as plain values, ready to be written into expressions."""
@@ -142,23 +137,16 @@ def merge_seed(existing: DataFrame, seed: DataFrame, key: str) -> DataFrame:
     return seed.join(existing.select(key), key, "left_anti").select(seed.columns)
 
 
-def _bounded_rows(table: DataFrame, name: str) -> list:
-    rows = table.limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ConfigTooLarge(f"{name}: more than {MAX_ENTRIES} entries")
-    return rows
-
-
 def load_config(tables: dict[str, DataFrame]) -> RuleConfig:
-    """Load all six tables. A missing table or an oversized one aborts the load as a whole; on a
-    repeated key the entry with the highest id counts."""
+    """Load all six tables. A missing table aborts the load as a whole; on a repeated key the
+    entry with the highest id counts."""
 
     def scored(name: str, key: str) -> dict[str, int]:
         latest = tables[name].groupBy(key).agg(F.max_by("score", "id").alias("score"))
-        return {row[key]: row["score"] for row in _bounded_rows(latest, name)}
+        return {row[key]: row["score"] for row in latest.collect()}
 
-    brands = sorted(_bounded_rows(tables["brands"], "brands"), key=lambda r: r["id"])
-    hosting = sorted(_bounded_rows(tables["hosting"], "hosting"), key=lambda r: r["id"])
+    brands = sorted(tables["brands"].collect(), key=lambda r: r["id"])
+    hosting = sorted(tables["hosting"].collect(), key=lambda r: r["id"])
     return RuleConfig(
         brands=[r["name"] for r in brands],
         keywords=scored("keywords", "word"),
