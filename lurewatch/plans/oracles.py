@@ -343,6 +343,34 @@ FROM check_requests c ASOF JOIN w_{key} w ON w.k = c.{key} AND w.st <= c.ts)"""
 REUSE = f"SELECT event_id, url, st::TIMESTAMPTZ AS computed_at, rn > 1 AS reused FROM {_placed('url')}"
 
 
+# The report as JSON; merging into an empty object leaves absent parts out.
+REPORT_JSON = """
+SELECT r.url_id, json_merge_patch('{}', to_json(struct_pack(
+  target := r.target, verdict := r.verdict, risk_score := r.risk_score, reason := r.reason,
+  summary := CASE WHEN n_critical + n_high + n_medium + n_low > 0 THEN
+    struct_pack(critical := n_critical, high := n_high, medium := n_medium, low := n_low) END,
+  signals := s.signals, blacklists := b.blacklists, heuristics := h.heuristics,
+  infrastructure := CASE WHEN f.host IS NOT NULL THEN struct_pack(
+    status := CASE WHEN f.online THEN 'Online' ELSE 'Offline' END, ip := l.ip,
+    geolocation := CASE WHEN f.online THEN struct_pack(country := l.country, isp := l.isp, asn := nullif(l.asn, 0), organization := nullif(l.isp, '')) END,
+    ssl := CASE WHEN f.has_tls THEN struct_pack(valid := t.valid, issuer := t.issuer, age_days := t.age_days, expires_in := t.expires_in, is_https := true) END,
+    dns := CASE WHEN f.online AND (l.mx IS NOT NULL OR l.ns IS NOT NULL) THEN struct_pack(
+      mx_records := CASE WHEN l.mx IS NOT NULL THEN [l.mx] END, ns_records := CASE WHEN l.ns IS NOT NULL THEN [l.ns] END) END,
+    http_scan := CASE WHEN f.online AND p.url IS NOT NULL THEN struct_pack(status_code := 200, page_title := p.title,
+      has_password_field := p.password_field, has_credit_card_field := p.card_field, is_suspicious_js := false) END) END,
+  whois := CASE WHEN w.host IS NOT NULL THEN struct_pack(registrar := 'MAXNAME', created_date := nullif(w.created_raw, ''), domain_age_days := w.age) END
+)))::VARCHAR AS report
+FROM t_report r
+LEFT JOIN (SELECT * FROM t_facts WHERE url_id IN (SELECT url_id FROM t_open)) f ON f.url_id = r.url_id
+LEFT JOIN located l ON l.host = f.host LEFT JOIN tls t ON t.host = f.host LEFT JOIN whois w ON w.host = f.host LEFT JOIN pages_seen p ON p.url = f.url
+LEFT JOIN (SELECT url_id, list(signal ORDER BY pos) AS signals FROM t_signals GROUP BY url_id) s ON s.url_id = r.url_id
+LEFT JOIN (SELECT url, list(struct_pack(source := source, ext_id := external_id, type := threat_type, first_seen := first_seen) ORDER BY back DESC, source) AS blacklists
+  FROM stored GROUP BY url) b ON b.url = f.url
+LEFT JOIN (SELECT url_id, list(struct_pack(name := name, "desc" := "desc", score := score) ORDER BY part, k1, k2, "desc") AS heuristics FROM (
+  SELECT url_id, 1 AS part, ord AS k1, 0 AS k2, name, "desc", score FROM t_infra_hits
+  UNION ALL SELECT url_id, 2, -score, ord, name, "desc", score FROM t_hits) WHERE url_id IN (SELECT url_id FROM t_open) GROUP BY url_id) h ON h.url_id = r.url_id"""
+
+
 def all_sql() -> dict[str, str]:
     infra_hit = "SELECT host, name, \"desc\", score FROM host_hits WHERE ord {}"
     report_columns = "target, verdict, risk_score, reason, n_critical, n_high, n_medium, n_low, n_lists"
@@ -405,6 +433,7 @@ CASE WHEN ip IS NOT NULL THEN coalesce(asn, 0) END AS asn FROM dns_obs LEFT JOIN
         "verdict": "SELECT url_id, verdict, reason FROM t_report",
         "signals": "SELECT url_id, pos, signal FROM t_signals",
         "check_report": f"SELECT url_id, {report_columns} FROM t_report",
+        "report_json": REPORT_JSON,
         "report_reuse": REUSE, "stream_reuse": REUSE,
         "client_quota": f"SELECT event_id, client, st::TIMESTAMPTZ AS window_start, rn <= 3 AS accepted FROM {_placed('client')}",
         "stream_ingest": "SELECT DISTINCT url, sha256(url) AS url_hash, 'openphish' AS source, 'phishing' AS threat_type FROM pages WHERE url <> ''",
