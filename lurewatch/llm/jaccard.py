@@ -296,7 +296,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     small_batches(docs.sparkSession)
     texts = docs.select(identity().alias("node"), "text")
     named = stored(texts.select("node", F.md5(F.coalesce("text", F.lit(""))).alias("key")).distinct(), "texts")
-    equal = named.groupBy("key").agg(F.min("node").alias("text_node"), F.count("*").alias("copies"))
+    # Stored, so that the join below is one of two shuffles, which can be split at a common text.
+    equal = stored(named.groupBy("key").agg(F.min("node").alias("text_node"), F.count("*").alias("copies")), "equal")
     members = stored(named.join(equal, "key").select("node", "text_node", "copies"), "members")
 
     keyed = texts.mapInArrow(_keyed(words, BANDS, ROWS), "kind int, a long, b long")
