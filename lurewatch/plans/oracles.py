@@ -315,10 +315,14 @@ unnest(['botnet_cc', 'payload']) AS threat_type FROM url_corpus"""
 CONFIG_USAGE = """(
 SELECT kind, key, score, (SELECT count(*) FROM used u WHERE u.kind = e.kind AND u.key = e.key) AS n_urls FROM (
   SELECT 'brand' AS kind, name AS key, NULL::INT AS score FROM config_brands UNION ALL SELECT 'keyword', word, score FROM config_keywords
-  UNION ALL SELECT 'tld', tld, score FROM config_tlds UNION ALL SELECT 'shortener', domain, score FROM config_shorteners) e)"""
+  UNION ALL SELECT 'tld', tld, score FROM config_tlds UNION ALL SELECT 'shortener', domain, score FROM config_shorteners
+  UNION ALL SELECT 'geo_risk', country, score FROM config_geo_risks UNION ALL SELECT 'hosting', pattern, score FROM config_hosting) e)"""
 SHARED["used"] = """
 SELECT DISTINCT url_id, 'brand' AS kind, t AS key FROM tokens UNION ALL SELECT DISTINCT url_id, 'keyword', t FROM tokens
-UNION ALL SELECT url_id, 'tld', CASE WHEN contains(hostname, '.') THEN split_part(hostname, '.', -1) ELSE '' END FROM parts UNION ALL SELECT url_id, 'shortener', clean_host FROM parts"""
+UNION ALL SELECT url_id, 'tld', CASE WHEN contains(hostname, '.') THEN split_part(hostname, '.', -1) ELSE '' END FROM parts UNION ALL SELECT url_id, 'shortener', clean_host FROM parts
+UNION ALL SELECT 0, 'geo_risk', country FROM located
+UNION ALL SELECT 0, 'hosting', pattern FROM (SELECT host, arg_min(h.pattern, h.id) AS pattern FROM located l
+  JOIN config_hosting h ON contains(lower(l.isp), lower(h.pattern)) WHERE isp <> 'Unknown' GROUP BY host)"""
 
 ROOT = "array_to_string(string_split(host, '.')[-2:], '.')"
 
@@ -382,7 +386,7 @@ def all_sql() -> dict[str, str]:
         "scan_config": f"SELECT * FROM {CONFIG_USAGE}",
         "config_bundle": "SELECT " + ", ".join(
             f"coalesce(string_agg(concat_ws('=', key, score), ',' ORDER BY concat_ws('=', key, score)) FILTER (kind = '{k}'), '') AS {k}s"
-            for k in ("brand", "keyword", "tld", "shortener")) + f" FROM {CONFIG_USAGE} WHERE n_urls > 0",
+            for k in ("brand", "keyword", "tld", "shortener", "geo_risk", "hosting")) + f" FROM {CONFIG_USAGE} WHERE n_urls > 0",
         "seed_merge": f"SELECT domain FROM whitelist WHERE domain NOT IN (SELECT {ROOT} FROM hosts WHERE host IS NOT NULL)",
         "url_hash": "SELECT url_id, sha256(url) AS url_hash FROM url_corpus",
         "lookup_host": "SELECT url_id, host FROM hosts",

@@ -90,6 +90,18 @@ def scan_whitelist(spark, sf):
         "domain", F.coalesce("n_urls", F.lit(0)).alias("n_urls"))
 
 
+def _owner_usage(spark, sf):
+    """Countries of the located hosts, and the hosting pattern each owner's name meets first."""
+    located = facts(spark, sf).where(F.col("online"))
+    pattern = infra.hosting_match(CONFIG, F.col("isp"))["pattern"]
+    named = config.seed_tables(spark)["hosting"].select(F.lower("pattern").alias("lower"), F.col("pattern").alias("key"))
+    return [
+        located.select(F.lit(0).alias("url_id"), F.col("country").alias("key"), F.lit("geo_risk").alias("kind")),
+        located.select(pattern.alias("lower")).join(named, "lower").select(
+            F.lit(0).alias("url_id"), "key", F.lit("hosting").alias("kind")),
+    ]
+
+
 def _config_usage(spark, sf):
     """Entries of the exact-match tables with the number of corpus URLs that meet them."""
     tables = config.seed_tables(spark)
@@ -101,6 +113,7 @@ def _config_usage(spark, sf):
         p.select("url_id", U.top_level_domain(F.col("hostname")).alias("key"),
                  F.lit("tld").alias("kind")),
         p.select("url_id", F.col("clean_host").alias("key"), F.lit("shortener").alias("kind")),
+        *_owner_usage(spark, sf),
     ])
     counts = met.groupBy("kind", "key").agg(F.count("*").alias("n_urls"))
     entries = feeds.union_feeds([
@@ -110,6 +123,8 @@ def _config_usage(spark, sf):
         tables["tlds"].select(F.lit("tld").alias("kind"), F.col("tld").alias("key"), "score"),
         tables["shorteners"].select(
             F.lit("shortener").alias("kind"), F.col("domain").alias("key"), "score"),
+        tables["geo_risks"].select(F.lit("geo_risk").alias("kind"), F.col("country").alias("key"), "score"),
+        tables["hosting"].select(F.lit("hosting").alias("kind"), F.col("pattern").alias("key"), "score"),
     ])
     return entries.join(counts, ["kind", "key"], "left").select(
         "kind", "key", "score", F.coalesce("n_urls", F.lit(0)).alias("n_urls"))
@@ -131,7 +146,8 @@ def config_bundle(spark, sf):
         return F.array_join(F.array_sort(found), ",")
 
     return used.agg(entries("brand").alias("brands"), entries("keyword").alias("keywords"),
-                    entries("tld").alias("tlds"), entries("shortener").alias("shorteners"))
+                    entries("tld").alias("tlds"), entries("shortener").alias("shorteners"),
+                    entries("geo_risk").alias("geo_risks"), entries("hosting").alias("hostings"))
 
 
 @query
@@ -475,8 +491,9 @@ def infra_score(spark, sf):
 
 
 def reports(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    loaded = config.load_config(config.seed_tables(spark))
     return C.check(targets(spark, sf) if rows is None else rows, stored_threats(spark, sf),
-                   config.WHITELIST, CONFIG, observations(spark, sf), as_of())
+                   config.WHITELIST, loaded, observations(spark, sf), as_of())
 
 
 def scalars(report: DataFrame, key: str) -> DataFrame:
