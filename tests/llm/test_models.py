@@ -111,11 +111,11 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     held = labels.where(F.xxhash64("doc_id") % 4 == 0)
     known = labels.join(held.select("doc_id"), "doc_id", "left_anti")
-    row = toxicity.judged(docs.join(held, "doc_id"), known).agg(
+    row = toxicity.judged(docs, known).join(held, "doc_id").agg(
         F.avg(F.when(F.col("toxic") == 1, F.col("rejected").cast("int"))).alias("found"),
         F.avg(F.when(F.col("toxic") == 0, F.col("rejected").cast("int"))).alias("wrong")).first()
     assert row["found"] > 0.7 and row["wrong"] < 0.01
-    row = quality.graded(docs.join(held, "doc_id"), known).agg(
+    row = quality.graded(docs, known).join(held, "doc_id").agg(
         F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("kept"),
         F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("wrong")).first()
     assert row["kept"] > 0.98 and row["wrong"] < 0.1
