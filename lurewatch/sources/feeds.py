@@ -26,6 +26,13 @@ CSV_LINE = rf"^{CSV_FIELD}(?:,{CSV_FIELD})*+\z"
 # -----------------------------------------------------------------------------------------------
 
 
+# A JSON object with at most two levels of objects inside.
+_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+JSON_OBJECT = rf'\{{(?:[^{{}}"]++|{_TEXT})*+\}}'
+for _ in range(2):
+    JSON_OBJECT = rf'\{{(?:[^{{}}"]++|{_TEXT}|{JSON_OBJECT})*+\}}'
+
+
 def _lines(raw: DataFrame) -> Column:
     return F.regexp_replace("value", r"\r\z", "")
 
@@ -62,8 +69,10 @@ phishing_army = _line_feed("phishing_army", "phishing", comments=True, domains=T
 
 def phishtank(raw: DataFrame) -> DataFrame:
     """JSON arrays of ``{"phish_id": int, "url": string}``. An element of any other shape is skipped;
-    an absent or null id reads as 0, an absent or null URL as the empty text."""
-    items = raw.select(F.explode(F.from_json("value", "array<variant>")).alias("item"))
+    an absent or null id reads as 0, an absent or null URL as the empty text. Of a document that is
+    broken or cut off, the objects that are whole are read."""
+    whole = F.transform(F.regexp_extract_all("value", F.lit(f"({JSON_OBJECT})"), F.lit(1)), F.try_parse_json)
+    items = raw.select(F.explode(F.coalesce(F.from_json("value", "array<variant>"), whole)).alias("item"))
     kind = F.schema_of_variant("item")
     items = items.where(kind.startswith("OBJECT")).select(
         F.try_variant_get("item", "$.phish_id", "variant").alias("id"),
@@ -98,9 +107,12 @@ def urlhaus(raw: DataFrame) -> DataFrame:
 
 def threatfox(raw: DataFrame) -> DataFrame:
     """JSON objects ``id -> [{ioc_value, ioc_type, threat_type}]``; URL and domain entries are kept as
-    they are written."""
+    they are written. A document that is not such an object stops the run."""
     shape = "map<string,array<struct<ioc_value:string,ioc_type:string,threat_type:string>>>"
-    entries = raw.select(F.explode(F.from_json("value", shape)).alias("id", "items"))
+    parsed = F.from_json("value", shape)
+    broken = parsed.isNull() & (F.trim("value") != "")
+    parsed = F.when(broken, F.raise_error(F.lit("threatfox: not a JSON object of lists")).cast(shape)).otherwise(parsed)
+    entries = raw.select(F.explode(parsed).alias("id", "items"))
     iocs = entries.select("id", F.inline("items")).where(F.col("ioc_type").isin(KEPT_IOC_TYPES))
     return _threats(iocs, F.coalesce("ioc_value", F.lit("")), "threatfox",
                     F.coalesce("threat_type", F.lit("")), F.col("id"))
