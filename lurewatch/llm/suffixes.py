@@ -98,21 +98,32 @@ def _equal_substrings(text: np.ndarray, one: np.ndarray, other: np.ndarray, leng
 
 
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first ``depth`` names, by doubling ranks."""
-    rank = names.astype(np.int64)
-    width, n = 1, len(names)
-    order = np.argsort(rank, kind="stable")
-    while True:
-        sorted_rank = rank[order]
-        fresh = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all() or width >= depth:
-            return order
-        following = np.zeros(n, dtype=np.int64)
-        following[:n - width] = rank[width:] + 1
-        rank = rank * (n + 1) + following
-        order = np.argsort(rank, kind="stable")
+    """Positions in the order of their suffixes' first ``depth`` names, by doubling ranks.
+
+    A rank is the place where its group of equal suffixes starts; only groups of several are sorted
+    further."""
+    n, width = len(names), 1
+    order = np.argsort(names, kind="stable")
+    sorted_names = names[order]
+    fresh = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1], [True]])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh[:-1], np.arange(n), 0))
+    while width < depth:
+        open_ = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+        if not len(open_):
+            break
+        items = order[open_]
+        onward = items + width
+        following = np.where(onward < n, rank[np.minimum(onward, n - 1)] + 1, 0)
+        key = rank[items] * (n + 1) + following
+        within = np.argsort(key, kind="stable")
+        items, key = items[within], key[within]
+        order[open_] = items
+        start = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh[open_] = start
+        rank[items] = open_[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
         width *= 2
+    return order
 
 
 def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np.ndarray:
@@ -120,6 +131,8 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np
     be in any order (default: none)."""
     n = len(text)
     depth = depth or n
+    if symbols < 1 << 15:
+        text = text.astype(np.int16)  # short numbers are sorted by counting
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     smaller = classified(text)
@@ -153,7 +166,8 @@ def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     """For each suffix, in text order, the symbols it shares with the one before it in the array.
 
     Where both are preceded by the same symbol, the length is one less than at the position before;
-    all other lengths are counted, many at once. 0 (a separator) never counts as shared."""
+    all other lengths are counted, many at once. Symbols are below 2 ** 15; 0, a separator with which
+    ``text`` ends, never counts as shared."""
     n = len(text)
     previous = np.full(n, -1, dtype=np.int64)
     previous[array[1:]] = array[:-1]
@@ -165,11 +179,20 @@ def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     counted[1:] |= previous[:-1] < 0
     start = np.flatnonzero(counted)
     length = np.zeros(len(start), dtype=np.int64)
-    alive = np.flatnonzero(previous[start] >= 0)
-    one, other = start[alive].copy(), previous[start[alive]].copy()
+    # Four symbols at a time as one number; those with a separator in them agree with no other.
+    padded = np.concatenate([text, np.zeros(4, dtype=text.dtype)]).astype(np.int64)
+    words = padded[:n] | padded[1:n + 1] << 16 | padded[2:n + 2] << 32 | padded[3:n + 3] << 48
+    cut = (padded[:n] == 0) | (padded[1:n + 1] == 0) | (padded[2:n + 2] == 0) | (padded[3:n + 3] == 0)
+    words[cut] = -1 - np.flatnonzero(cut)
+    compared = np.flatnonzero(previous[start] >= 0)
+    alive, one, other = compared, start[compared], previous[start[compared]]
     while len(alive):
-        agree = (one < n) & (other < n)
-        agree[agree] = (text[one[agree]] == text[other[agree]]) & (text[one[agree]] != 0)
+        agree = words[one] == words[other]
+        alive, one, other = alive[agree], one[agree] + 4, other[agree] + 4
+        length[alive] += 4
+    alive, one, other = compared, start[compared] + length[compared], previous[start[compared]] + length[compared]
+    for _ in range(3):
+        agree = (text[one] == text[other]) & (text[one] != 0)
         alive, one, other = alive[agree], one[agree] + 1, other[agree] + 1
         length[alive] += 1
     run = np.cumsum(counted) - 1
