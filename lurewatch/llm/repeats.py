@@ -42,7 +42,7 @@ CHUNK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 2 << 20
 
 # A name is common when so many chunks, or so many stretches of one chunk, have it.
-COMMON_CHUNKS = 64
+COMMON_CHUNKS = 1024
 COMMON_STRETCHES = 256
 
 NO_ID = (1 << 63) - 1
