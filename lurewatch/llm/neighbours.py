@@ -4,6 +4,8 @@ Each tree splits space by hyperplanes between two sample vectors, at the sample'
 fitted on at most ``SAMPLE`` vectors; every vector is then filed under its leaf in every tree. A query
 walks all trees with one priority queue, nearest hyperplanes first, until it has met ``SHARE`` of all
 leaves; the vectors of those leaves are scored exactly, in double precision, and the best are kept.
+Queries that met fewer than they should list (few distinct vectors leave most leaves empty) are then
+scored against all vectors, in blocks, so every query gets ``most`` rows, or all candidates if fewer.
 
 Largest inner products are found as nearest neighbours: every vector gets one more component that
 brings it to the largest norm. Equal vectors are filed once, with their smallest ids. The queries that
@@ -105,10 +107,13 @@ def _best(one: np.ndarray, ids: list, query: np.ndarray, query_id: int, rough: n
     """The best (score, id) of the filed vectors for a query."""
     near = np.flatnonzero(rough >= np.partition(rough, -(most + 1))[-(most + 1)] - 1e-9) \
         if len(rough) > most + 1 else np.arange(len(rough))
-    scores = (one[near] * query).sum(axis=1)
-    found = [(-s, i) for s, n in zip(scores.tolist(), near.tolist()) for i in ids[n] if i != query_id]
-    found.sort()
-    return found[:most]
+    while True:
+        scores = (one[near] * query).sum(axis=1)
+        found = [(-s, i) for s, n in zip(scores.tolist(), near.tolist()) for i in ids[n] if i != query_id]
+        if len(found) >= most or len(near) == len(rough):
+            found.sort()
+            return found[:most]
+        near = np.arange(len(rough))  # the nearest were other vectors of the query's own id
 
 
 def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int = TREES,
@@ -196,8 +201,30 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
     asked = queries.select("vec_id", "vector").mapInArrow(search, "leaf long, query_id long, vector binary").groupBy("leaf")
     scored = index.cogroup(asked).applyInArrow(
         score, "query_id long, found array<struct<lack:double,vec_id:long>>")
-    # A query has at most ``visits`` rows of ``most`` candidates each.
-    merged = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(
-        F.flatten(F.collect_list("found")))), 1, most).alias("found"))
-    return merged.select("query_id", F.posexplode("found").alias("at", "hit")).select(
+
+    def merged(parts: DataFrame) -> DataFrame:
+        # A query has at most ``visits`` rows, or one per block, of ``most`` candidates each.
+        return parts.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(
+            F.flatten(F.collect_list("found")))), 1, most).alias("found"))
+
+    met = stored(merged(scored), "met")
+    least = min(most, points.count() - 1)
+    short = stored(queries.join(
+        met.select(F.col("query_id").alias("vec_id"), F.size("found").alias("_met")), "vec_id", "left"
+    ).where(F.coalesce("_met", F.lit(0)) < least).select(F.col("vec_id").alias("query_id"), "vector"), "short")
+    missing = short.count()
+    if missing:
+        rows, columns = (int(np.ceil(n / QUERY_BLOCK)) for n in (count, missing))
+
+        def copied(number: int):
+            return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+        every_vector = filed.withColumn("_column", copied(columns)).select(
+            (F.pmod(F.xxhash64("vector"), F.lit(rows)) * columns + F.col("_column")).alias("leaf"), "vector", "ids")
+        every_short = short.withColumn("_row", copied(rows)).select(
+            (F.col("_row") * columns + F.pmod(F.xxhash64("query_id"), F.lit(columns))).alias("leaf"), "query_id", "vector")
+        topped = merged(every_vector.groupBy("leaf").cogroup(every_short.groupBy("leaf")).applyInArrow(
+            score, "query_id long, found array<struct<lack:double,vec_id:long>>"))
+        met = met.join(short.select("query_id"), "query_id", "left_anti").unionByName(topped)
+    return met.select("query_id", F.posexplode("found").alias("at", "hit")).select(
         "query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.lack")).alias("score"))

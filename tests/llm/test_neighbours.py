@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lurewatch.llm import neighbours
 
@@ -35,6 +36,39 @@ def test_few_and_none(spark):
     assert rows == [(0, 1, 2, 2.0), (0, 2, 3, 2.0), (0, 3, 1, 1.0)]
 
 
+def exact(points, q, most=20):
+    """The best (id, score) of the other rows by plain Python."""
+    scores = sorted((-float(np.dot(points[i], points[q])), i) for i in range(len(points)) if i != q)
+    return [(i, -s) for s, i in scores[:most]]
+
+
+@pytest.mark.parametrize("n", [2, 5, 21, 22, 60])
+def test_every_query_lists_all_it_should(spark, n):
+    rng = np.random.default_rng(n)
+    points = np.array([[1.0, 0.0], [-1.0, 0.0]]) if n == 2 else rng.integers(-9, 10, (n, 3)) + 0.5
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(frame, every=1).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(found) == list(range(n))
+    for q, hits in found.items():
+        assert sorted(hits) == list(range(1, min(20, n - 1) + 1))
+        if n <= 21:  # all candidates: nothing is approximate
+            assert [hits[k] for k in sorted(hits)] == exact(points, q)
+
+
+def test_one_vector_against_copies_of_its_opposite(spark):
+    rows = [(0, [1.0, 0.0])] + [(i, [-1.0, 0.0]) for i in range(1, 3000)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0")
+    assert sorted(map(tuple, found.collect())) == [(0, k, k, -1.0) for k in range(1, 21)]
+
+
+def test_other_vectors_of_the_same_id_leave_room(spark):
+    rows = [(0, [10.0 + i, 1.0]) for i in range(30)] + [(i, [1.0, float(i)]) for i in range(1, 41)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100)
+    assert found.where("query_id = 0").count() == 20
+
+
 def test_queue_visits_all_leaves_when_asked():
     rng = np.random.default_rng(2)
     sample = rng.standard_normal((200, 5))
