@@ -1,4 +1,9 @@
-"""Hashed text features and small linear models on bounded labelled samples."""
+"""Hashed text features and small linear models on bounded labelled samples.
+
+A run between white space is a feature as a whole and by its beginnings, and so is each of its letter
+sequences if it holds other characters. What no spaces divide (runs over ``LONGEST`` characters, letter
+sequences over ``LONG_WORD``, scripts without spaces) is a feature by all its overlapping pieces as well,
+so every character of a text takes part, wherever it stands."""
 
 from __future__ import annotations
 
@@ -17,6 +22,17 @@ from lurewatch.llm.common import small_batches
 BITS = 20
 PREFIXES = (4, 5)
 
+# Longer runs count as several words of this length, and as overlapping pieces.
+LONGEST = 64
+# Letter sequences longer than this count as overlapping pieces as well.
+LONG_WORD = 20
+# Characters of a piece: as many as a word's beginnings have, so that pieces and beginnings share weights.
+PIECES = PREFIXES
+# From this character on most scripts have no spaces between words, and words are shorter.
+UNSPACED, SHORT_PIECES = "\u0e00", (2, 3, 4, 5)
+# Pieces of a long run are made from blocks of this many characters.
+PIECE_BLOCK = 1 << 16
+
 # Shares of a document's words at which a shape's density feature changes.
 DENSITIES = (0.01, 0.05, 0.2, 0.5)
 
@@ -33,6 +49,7 @@ REMEMBERED_WORDS = 300_000
 
 _EDGES = re.compile(r"^\W+|\W+$")
 _RUNS = re.compile(r"(.)\1+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _hash(name: str) -> int:
@@ -41,19 +58,43 @@ def _hash(name: str) -> int:
 
 def _shape(word: str) -> str:
     marks = "".join("U" if c.isupper() else "l" if c.isalpha() else "9" if c.isdigit() else c
-                    for c in word[:64])
+                    for c in word)
     return _RUNS.sub(r"\1", marks)[:6]
 
 
-def _word(word: str) -> tuple[tuple[int, ...], str]:
-    """The features of a word's presence, and its shape."""
-    if word.isalpha():
-        core = word.lower()[:64]
-        shape = "l" if word.islower() else "U" if word.isupper() else _shape(word)
-    else:
-        core, shape = _EDGES.sub("", word).lower()[:64], _shape(word)
-    names = [f"w:{core}"] + [f"{n}:{core[:n]}" for n in PREFIXES if len(core) > n]
-    return (tuple(map(_hash, names)) if core else ()), shape
+def _named(core: str) -> list[str]:
+    """A word's own feature and those of its beginnings."""
+    return [f"w:{core}"] + [f"{n}:{core[:n]}" for n in PREFIXES if len(core) > n]
+
+
+def _pieces(core: str) -> set[int]:
+    """The features of all overlapping pieces of a word or run."""
+    found: set[int] = set()
+    for n in SHORT_PIECES if max(core) >= UNSPACED else PIECES:
+        for at in range(0, max(0, len(core) - n + 1), PIECE_BLOCK):
+            block = core[at:at + PIECE_BLOCK + n - 1]
+            found.update([_hash(f"{n}:{p}") for p in {block[i:i + n] for i in range(len(block) - n + 1)}])
+    return found
+
+
+def _whole(run: str) -> set[int]:
+    """The features of a run's presence."""
+    alphabetic = run.isalpha()
+    core = run.lower() if alphabetic else _EDGES.sub("", run).lower()
+    if not core:
+        return set()
+    names, long = _named(core), len(core) > LONGEST
+    found = _pieces(core) if long else set()
+    for part in [core] if alphabetic else _LETTERS.findall(core):
+        if part != core:
+            names += _named(part)
+        if not long and (len(part) > LONG_WORD or not part.isascii() and max(part) >= UNSPACED):
+            found |= _pieces(part)
+    return found.union(map(_hash, names))
+
+
+def _form(word: str) -> str:
+    return "l" if word.isalpha() and word.islower() else "U" if word.isalpha() and word.isupper() else _shape(word)
 
 
 class Features:
@@ -65,20 +106,30 @@ class Features:
         self.words: dict[str, tuple] = {}
         self.useful = None if useful is None else set(np.flatnonzero(useful).tolist())
 
+    def _known(self, found: set[int]) -> set[int]:
+        return found if self.useful is None else found & self.useful
+
     def of(self, text: str) -> np.ndarray:
-        words = text.split()
-        counts = Counter(words)
-        known, found, shapes = self.words, set(), Counter()
+        words, found = text.split(), set()
+        if words and len(max(words, key=len)) > LONGEST:
+            for run in {w for w in words if len(w) > LONGEST}:
+                found |= self._known(_whole(run))
+            # Shapes and repetitions count the run's parts.
+            words = [w[at:at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
+            counts, runs = Counter(words), {w for w in text.split() if len(w) <= LONGEST}
+        else:
+            counts, runs = Counter(words), None
+        known, shapes = self.words, Counter()
         for word, count in counts.items():
+            if runs is not None and word not in runs:
+                shapes[_form(word)] += count
+                continue
             entry = known.get(word)
             if entry is None:
-                entry = _word(word)
-                if self.useful is not None:
-                    entry = (tuple(f for f in entry[0] if f in self.useful), entry[1])
-                if len(word) <= 64:
-                    if len(known) >= REMEMBERED_WORDS:
-                        known.clear()
-                    known[word] = entry
+                entry = tuple(self._known(_whole(word))), _form(word)
+                if len(known) >= REMEMBERED_WORDS:
+                    known.clear()
+                known[word] = entry
             if entry[0]:
                 found.update(entry[0])
             shapes[entry[1]] += count

@@ -119,3 +119,31 @@ def test_held_out_accuracy_on_the_given_tables(spark):
         F.avg(F.when(F.col("quality") == 1, F.col("kept").cast("int"))).alias("kept"),
         F.avg(F.when(F.col("quality") == 0, F.col("kept").cast("int"))).alias("wrong")).first()
     assert row["kept"] > 0.98 and row["wrong"] < 0.1
+
+
+def features(text):
+    return set(textmodel.Features().of(text).tolist())
+
+
+def test_every_part_of_a_run_is_a_feature():
+    words = features("so you idiot")
+    named = {textmodel._hash(f"w:{w}") for w in ("so", "you", "idiot")}
+    assert named <= words and named <= features("so,you,idiot") and named <= features("so-you9idiot_")
+    assert textmodel._hash("4:idio") in features("x" * 30 + "idiot") & features("x" * 500 + "idiot")
+    assert textmodel._hash("4:idio") in features("x," * 500 + "idiot") & features(textmodel.PIECE_BLOCK * "x" + "idiot")
+    assert features("x" * (textmodel.PIECE_BLOCK - 2) + "idiot") >= {textmodel._hash(n) for n in ("4:idio", "4:diot", "5:idiot")}
+    for tail in ("1", ".a", "bcd"):  # runs that agree in far more than 64 characters
+        assert features("ab" * 2000) != features("ab" * 2000 + tail)
+    assert textmodel._hash("2:\u4f60\u597d") in features("\u4eca\u5929\u4f60\u597d")
+
+
+def test_toxic_word_at_the_end_of_an_unspaced_run_is_seen(tables):
+    docs, labels = tables
+    spark = docs.sparkSession
+    clean, joined = "w" * 100, "".join(f"w{i}" for i in range(60))
+    runs = {2000: clean, 2001: clean + "".join(BAD), 2002: joined, 2003: joined + "".join(BAD),
+            2004: ",".join(["w7"] * 40 + BAD), 2005: ",".join(["w7"] * 40)}
+    more = spark.createDataFrame([(i, t, "x") for i, t in runs.items()], docs.schema)
+    found = {r["doc_id"]: r for r in toxicity.judged(docs.unionByName(more), labels).where("doc_id >= 2000").collect()}
+    for bad, good in ((2001, 2000), (2003, 2002), (2004, 2005)):
+        assert found[bad]["p_toxic"] > 0.5 > found[good]["p_toxic"], (bad, found[bad], found[good])
