@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import fingerprints, jaccard, mixing, neighbours, packing, quality, repeats, secrets, toxicity, urlfilters
+from lurewatch.llm import (
+    contamination, divergence, fingerprints, jaccard, mixing, neighbours, packing, quality, repeats, secrets, toxicity,
+    urlfilters, variants)
 from lurewatch.llm.common import stored, table
 
 QUERIES = {}
@@ -94,3 +96,31 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What every document keeps without the 50-byte strings of earlier documents."""
     return repeats.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the corpus with its commoner form."""
+    return variants.grouped(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_variants"] = variants.oracle()
+
+
+@query
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document shares with the benchmark's items."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return contamination.report(docs, table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_decontamination"] = contamination.oracle()
+
+
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of each language differ in their words."""
+    return divergence.audited(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+ORACLES["op13_divergence"] = divergence.oracle()
