@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ VOCABULARY = "word_bpe_49k.json"
 # Pieces that one task packs together; bounds the arrays a task holds.
 ROUND = 100_000
 
-# Distinct words whose ids a task remembers.
-REMEMBERED = 300_000
+# Distinct words and parts of words whose ids a worker remembers.
+REMEMBERED = 700_000
 
 # How the vocabulary file splits lower-cased text, for ASCII and Latin-1 letters.
 WORD_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -109,7 +110,7 @@ def word_ids(path: str):
     as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def packed_ids(ids) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()  # little-endian on all machines that Spark runs on
 
     def of_part(part: str) -> bytes:
         symbols = part if part.isascii() else as_bytes(part)[0][0]
@@ -118,6 +119,11 @@ def word_ids(path: str):
     parts = Remembered(of_part)
 
     def of_word(word: str) -> bytes:
+        if word.isascii():  # a word, perhaps with one sign behind it, needs no splitting
+            if word.isalpha():
+                return parts[word.lower()]
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return parts[word[:-1].lower()] + parts[word[-1]]
         if PLAIN_WORD.fullmatch(word) and "<|" not in word:
             return b"".join([parts[p] for p in WORD_PARTS.findall(word.lower())])
         return packed_ids(tokenizer.encode(word, add_special_tokens=False).ids)
@@ -132,9 +138,11 @@ def word_ids(path: str):
     return ids
 
 
-def _pieces(path: str, size: int, closing: int, round_: int):
+def _pieces(learnt, path: str, size: int, closing: int, round_: int):
     def pack(batches):
-        ids = word_ids(path)
+        if path not in learnt.value:  # the first task of this worker
+            learnt.value[path] = word_ids(path)
+        ids = learnt.value[path]
         close = np.array([closing], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
@@ -189,8 +197,10 @@ def packed(docs: DataFrame, size: int = LENGTH, closing: int = CLOSING_ID,
 
     small_batches(docs.sparkSession)
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    # A worker loads a broadcast value once; its tasks share there the words they have looked up.
+    learnt = docs.sparkSession.sparkContext.broadcast({})
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _pieces(path, size, closing, round_), PIECES), "pieces")
+        _pieces(learnt, path, size, closing, round_), PIECES), "pieces")
     # A unit with room for the shortest unit may be joined with others.
     shortest = pieces.agg(F.min("unit_length")).first()[0] or 0
     units = pieces.where((F.col("offset") == 0) & (F.col("unit_length") + shortest <= size)).select(
