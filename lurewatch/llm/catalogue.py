@@ -83,7 +83,7 @@ def op2_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class and number of links of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = jaccard.classes(docs)
-    return found.select(F.col("node").alias("doc_id"), "class_id", "n_links", "n_text_links")
+    return found.select("doc_id", "class_id", "n_links", "n_text_links")
 
 
 @query

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +35,17 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+class Sent:
+    """A value of classes of this package for tasks whose workers lack the package: Spark's own broadcast
+    names classes by their module, this one brings them along."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return pickle.loads(self._sent.value)
+
+
 def matched(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
     """Join to a stored ``right`` side: broadcast when it was counted and is small, else by a
     shuffle whose large partitions adaptive execution splits."""

@@ -11,13 +11,14 @@ from lurewatch.llm.common import stored
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to its smallest neighbour."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    # Stored, so that the join is one of two shuffles, whose partitions can be split at a large star.
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     inner = links.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return inner.union(least.select("a", F.col("m").alias("b")))
 

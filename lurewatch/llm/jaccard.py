@@ -10,8 +10,9 @@ into blocks, and every two blocks are compared in a task of their own.
 
 Words are separated by white space and lower-cased. Defined results: a null text is empty; a text of
 fewer words than an n-gram has one n-gram of all its words; texts without words are linked only to
-equal texts; a document without id is known by its text; rows that agree in id are one document; an
-empty table gives no rows.
+equal texts; a document without id is known by its text; rows that agree in id and text are one document;
+rows that agree in id only are documents of their own, of which the one whose text has the smallest MD5
+goes by the id and the others by a number made from id and text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import small_batches, stored
+from lurewatch.llm.common import matched, small_batches, stored
 from lurewatch.llm.components import components
 
 WORDS = 5
@@ -282,23 +283,38 @@ def _compared(words: int, similarity: float, tolerance: float):
     return compare
 
 
-def identity() -> Column:
-    """A document's id, or one made from its text."""
-    made = -1 - F.expr("xxhash64(coalesce(text, '')) & 4611686018427387903")
-    return F.coalesce(F.col("doc_id").cast("long"), made)
+def identified(docs: DataFrame) -> DataFrame:
+    """Add ``node``: the document's id, or a negative number made from its text where there is none or
+    another text goes by it."""
+    made = -1 - F.expr("xxhash64(coalesce(text, ''), doc_id) & 4611686018427387903")
+    key = F.md5(F.coalesce("text", F.lit("")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), key.alias("_key")).where("_id IS NOT NULL")
+    several = ids.groupBy("_id").agg(F.min("_key").alias("_own"), F.max("_key").alias("_last")).where("_own <> _last")
+    several = stored(several.select("_id", "_own"), "several")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    if several.isEmpty():
+        return rows.withColumn("node", F.coalesce("_id", made)).drop("_id")
+    rows = matched(rows, several, "_id").withColumn("node", F.when(F.col("_own") != key, made).otherwise(F.coalesce("_id", made)))
+    return rows.drop("_id", "_own")
 
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
             tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row per document id: ``node`` (its identity), ``class_id`` (the smallest identity of its
-    class), ``n_links`` (other documents at the similarity or more) and ``n_text_links`` (of other
+    """One row per document: ``doc_id`` (its node if it has none), ``node``, ``class_id`` (the smallest node
+    of its class), ``n_links`` (other documents at the similarity or more) and ``n_text_links`` (of other
     texts). ``docs`` needs ``doc_id`` and ``text``."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(identity().alias("node"), "text")
-    named = stored(texts.select("node", F.md5(F.coalesce("text", F.lit(""))).alias("key")).distinct(), "texts")
+    return _classes(identified(docs.select("doc_id", "text")), words, similarity, tolerance, block)
+
+
+def _classes(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
+             tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    small_batches(rows.sparkSession)
+    texts = rows.select("node", "text")
+    given = F.coalesce(F.col("doc_id").cast("long"), F.col("node")).alias("doc_id")
+    named = stored(rows.select(given, "node", F.md5(F.coalesce("text", F.lit(""))).alias("key")).distinct(), "texts")
     # Stored, so that the join below is one of two shuffles, which can be split at a common text.
     equal = stored(named.groupBy("key").agg(F.min("node").alias("text_node"), F.count("*").alias("copies")), "equal")
-    members = stored(named.join(equal, "key").select("node", "text_node", "copies"), "members")
+    members = stored(named.join(equal, "key").select("doc_id", "node", "text_node", "copies"), "members")
 
     keyed = texts.mapInArrow(_keyed(words, BANDS, ROWS), "kind int, a long, b long")
     keyed = stored(keyed, "band_keys")
@@ -326,13 +342,13 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     same = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     solved = counts.join(same.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left")
     return members.join(solved.withColumnRenamed("node", "text_node"), "text_node", "left").select(
-        "node", F.coalesce("least", "text_node").alias("class_id"),
+        "doc_id", "node", F.coalesce("least", "text_node").alias("class_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, with all columns: the one whose identity names the class."""
-    chosen = classes(docs.select("doc_id", "text"), **options).where("node = class_id").select("node").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), identity().alias("node"))
+    rows = identified(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text"))
+    chosen = _classes(rows.select("doc_id", "text", "node"), **options).where("node = class_id").select("node").distinct()
     return rows.join(chosen, "node", "left_semi").dropDuplicates(["node"]).select("_row.*")

@@ -88,3 +88,19 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (2, 1)]
     found = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {i: 1 for i in range(2, 61)} | {i: 100 for i in range(101, 140)}
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Each text keeps its links, and none leaves the corpus."""
+    one, other = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    docs = [(1, one), (1, other), (2, one + " end"), (3, other + " end"), (1, one), (None, one)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.classes(frame).collect()
+    assert len(rows) == 5 and len({r["node"] for r in rows}) == 5
+    by = {}
+    for r in rows:
+        by.setdefault(r["class_id"], []).append((r["doc_id"] if r["doc_id"] > 0 else None, r["n_links"], r["n_text_links"]))
+    assert sorted(sorted(map(str, g)) for g in by.values()) == [
+        ["(1, 1, 1)", "(3, 1, 1)"], ["(1, 2, 1)", "(2, 2, 1)", "(None, 2, 1)"]]
+    kept = [r["text"].split()[0] for r in jaccard.representatives(frame).collect()]
+    assert sorted(kept) == ["a0", "b0"]
