@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lurewatch.llm.common import stored
+from lurewatch.llm.common import Sent, stored
 
 NEAREST = 20
 TREES = 8
@@ -153,15 +153,16 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
     depth = int(np.clip(np.ceil(np.log2(max(1, count) / LEAF_ROWS)), LEAST_DEPTH, MOST_DEPTH))
     rng = np.random.default_rng(SEED)
     fitted = _raised(np.frombuffer(b"".join(r["vector"] for r in seen), dtype=kind).astype(np.float64).reshape(-1, width), top)
-    forest = vectors.sparkSession.sparkContext.broadcast([Tree(fitted, depth, rng) for _ in range(trees)])
+    forest = Sent(vectors.sparkSession, [Tree(fitted, depth, rng) for _ in range(trees)])
     leaves = trees * 2 ** depth
     visits = max(1, int(np.ceil(leaves * share)))
     blocks = int(max(1, np.ceil(queries.count() * share / QUERY_BLOCK)))
 
     def file(batches):
+        grown = forest.load()
         for batch in batches:
             raised = _raised(_matrix(batch.column(0), kind), top)
-            for number, tree in enumerate(forest.value):
+            for number, tree in enumerate(grown):
                 leaf = tree.leaves(raised) + number * 2 ** depth
                 for block in range(blocks):
                     yield pa.RecordBatch.from_arrays(
@@ -169,6 +170,7 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
                         names=["leaf", "vector", "ids"])
 
     def search(batches):
+        grown = forest.load()
         for batch in batches:
             ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             matrix = _matrix(batch.column(1), kind)
@@ -176,7 +178,7 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
             # In the raised space a query is a direction; only its own last component is 0.
             raised = np.column_stack([matrix / length * top, np.zeros(len(matrix))])
             found = [(leaf * blocks + i // every % blocks, i, v) for i, v, p in zip(ids, data, raised)
-                     for leaf in searched(forest.value, p, visits)]
+                     for leaf in searched(grown, p, visits)]
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import small_batches
+from lurewatch.llm.common import Sent, small_batches
 from lurewatch.llm.textmodel import SAMPLE, Features, Sample, labelled, minimise, sigmoid
 
 PENALTY = 0.1
@@ -92,13 +92,14 @@ def graded(docs: DataFrame, labels: DataFrame, grade: Column | None = None, top:
     if not sample.rows:
         return docs.withColumns({n: F.lit(0.0) for n in ["expected_grade", *tails]}).withColumn("kept", F.lit(False))
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample, truth["grade"], top))
+    shared = Sent(docs.sparkSession, fit(sample, truth["grade"], top))
 
     @F.pandas_udf(f"struct<{', '.join(f'{n}: double' for n in tails)}>")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        features = Features(model.value.weights != 0)
+        model = shared.load()
+        features = Features(model.weights != 0)
         for batch in texts:
-            yield pd.DataFrame([model.value.tails(features.of(t or "")) for t in batch],
+            yield pd.DataFrame([model.tails(features.of(t or "")) for t in batch],
                                columns=tails, dtype="float64")
 
     found = docs.withColumn("_tails", score("text")).select(*docs.columns, "_tails.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import small_batches
+from lurewatch.llm.common import Sent, small_batches
 from lurewatch.llm.textmodel import SAMPLE, Features, Sample, labelled, minimise, sigmoid
 
 FOLDS = 3
@@ -94,11 +94,11 @@ def scored(docs: DataFrame, chain: dict[str, Link], prefix: str = "p_") -> DataF
     """Add ``p_<category>`` for each category of the chain."""
     small_batches(docs.sparkSession)
     names = [prefix + n for n in chain]
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a fixed number of weights per category
+    shared = Sent(docs.sparkSession, chain)  # a fixed number of weights per category
 
     @F.pandas_udf(f"struct<{', '.join(f'`{n}`: double' for n in names)}>")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        links = shared.value
+        links = shared.load()
         features = Features(sum(np.abs(link.weights) for link in links.values()) > 0)
         for batch in texts:
             rows = [probabilities(links, features.of(t or "")) for t in batch]
