@@ -155,10 +155,11 @@ def _next_moments(moments: DataFrame, key: str, length: int) -> DataFrame:
         F.col("_next").isNotNull())
 
 
-def report_reuse(requests: DataFrame, seconds: int = 600, key: str = "url", **options) -> DataFrame:
+def report_reuse(requests: DataFrame, seconds: int = 600, key: str = "url", order: str = "event_id",
+                 **options) -> DataFrame:
     """Each request with whether the report of an earlier request for the same key is reused, and when
     that report was made."""
-    marked = window_starts(requests, key, "ts", "event_id", seconds, **options)
+    marked = window_starts(requests, key, "ts", order, seconds, **options)
     return marked.withColumnRenamed("window_start", "computed_at").withColumn(
         "reused", ~F.col("opens")).drop("opens")
 

@@ -5,19 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A micro-batch's keys are broadcast only when they were counted and measured within both bounds.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Count at most ``rows + 1`` rows of a small frame and measure them as JSON text."""
-    seen = df.limit(rows + 1).agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size"),
-    ).first()
-    return seen["rows"] <= rows and seen["size"] <= size
-
 
 def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
     """All keys with at least ``rows`` rows, with their ``copies``: the number of slices a key is cut

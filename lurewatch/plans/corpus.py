@@ -167,6 +167,10 @@ SELECT concat('{"', CAST(url_id AS VARCHAR(20)), '":[{"ioc_value":"', url, '","i
 SELECT event_id, concat('10.0.0.', CAST(user_id % 40 AS VARCHAR(4))) AS client, ts,
   concat('https://host', CAST(user_id % 50 AS VARCHAR(4)), '.net/p', CAST(event_id % 3 AS VARCHAR(2))) AS url
 FROM {events}"""),
+    "store_requests": ("", """
+SELECT event_id, ts, CASE event_id % 11 WHEN 0 THEN concat('https://docs.google.com/d/', CAST(user_id % 5 AS VARCHAR(4)))
+  WHEN 1 THEN concat('http://host', CAST(user_id % 7 AS VARCHAR(4)), '.net/') WHEN 2 THEN '' ELSE url END AS url
+FROM (SELECT e.event_id, e.ts, e.user_id, c.url FROM {events} e JOIN check_requests c ON c.event_id = e.event_id) r"""),
 }
 
 

@@ -261,6 +261,7 @@ SELECT url_id, row_number() OVER (PARTITION BY url_id ORDER BY part, k1, k2, k3,
 
 SHARED.update(check_ctes("t_", "check_targets", "url_id"))
 SHARED.update(check_ctes("s_", "check_requests", "event_id"))
+SHARED.update(check_ctes("r_", "store_requests", "event_id"))
 
 
 def with_ctes(sql: str) -> str:
@@ -327,21 +328,23 @@ UNION ALL SELECT 0, 'hosting', pattern FROM (SELECT host, arg_min(h.pattern, h.i
 ROOT = "array_to_string(string_split(host, '.')[-2:], '.')"
 
 
-def _windows(key: str, seconds: int) -> str:
+def _windows(key: str, seconds: int, source: str = "check_requests", name: str = "w_") -> str:
     """Starts of windows anchored at their first event, found one after the other per key."""
     return f"""
-SELECT {key} AS k, min(ts) AS st FROM check_requests GROUP BY {key}
-UNION ALL SELECT k, (SELECT min(ts) FROM check_requests c WHERE c.{key} = k AND c.ts >= st + INTERVAL {seconds} SECOND) FROM w_{key}
-WHERE (SELECT min(ts) FROM check_requests c WHERE c.{key} = k AND c.ts >= st + INTERVAL {seconds} SECOND) IS NOT NULL"""
+SELECT {key} AS k, min(ts) AS st FROM {source} GROUP BY {key}
+UNION ALL SELECT k, (SELECT min(ts) FROM {source} c WHERE c.{key} = k AND c.ts >= st + INTERVAL {seconds} SECOND) FROM {name}{key}
+WHERE (SELECT min(ts) FROM {source} c WHERE c.{key} = k AND c.ts >= st + INTERVAL {seconds} SECOND) IS NOT NULL"""
 
 
 SHARED["w_url"] = _windows("url", 21600)
 SHARED["w_client"] = _windows("client", 21600)
+SHARED["r_stored"] = "SELECT event_id, ts, url FROM store_requests WHERE url <> '' AND event_id NOT IN (SELECT url_id FROM r_white)"
+SHARED["rw_url"] = _windows("url", 21600, "r_stored", "rw_")
 
 
-def _placed(key: str) -> str:
+def _placed(key: str, source: str = "check_requests", name: str = "w_") -> str:
     return f"""(SELECT c.*, st, row_number() OVER (PARTITION BY c.{key}, st ORDER BY ts, event_id) AS rn
-FROM check_requests c ASOF JOIN w_{key} w ON w.k = c.{key} AND w.st <= c.ts)"""
+FROM {source} c ASOF JOIN {name}{key} w ON w.k = c.{key} AND w.st <= c.ts)"""
 
 
 REUSE = f"SELECT event_id, url, st::TIMESTAMPTZ AS computed_at, rn > 1 AS reused FROM {_placed('url')}"
@@ -440,7 +443,10 @@ CASE WHEN ip IS NOT NULL THEN coalesce(asn, 0) END AS asn FROM dns_obs LEFT JOIN
         "report_json": REPORT_JSON,
         "report_reuse": REUSE, "stream_reuse": REUSE,
         "client_quota": f"SELECT event_id, client, st::TIMESTAMPTZ AS window_start, rn <= 3 AS accepted FROM {_placed('client')}",
-        "stream_ingest": "SELECT DISTINCT url, sha256(url) AS url_hash, 'openphish' AS source, 'phishing' AS threat_type FROM pages WHERE url <> ''",
+        "report_store": f"""SELECT event_id, a.computed_at::TIMESTAMPTZ AS computed_at, reused, target, verdict, risk_score, reason FROM (
+SELECT event_id, st AS computed_at, rn > 1 AS reused FROM {_placed('url', 'r_stored', 'rw_')}
+UNION ALL SELECT event_id, ts, false FROM store_requests WHERE event_id IN (SELECT url_id FROM r_white)) a JOIN r_report r ON r.url_id = a.event_id""",
+        "stream_ingest": "SELECT DISTINCT url, sha256(url) AS url_hash, source, threat_type FROM (" + "\nUNION ALL ".join(f"({text})" for text in FEEDS.values()) + ")",
         "stream_first_seen": "SELECT DISTINCT url, client AS source FROM check_requests",
         "stream_check": f"SELECT url_id AS event_id, {report_columns} FROM s_report",
     })

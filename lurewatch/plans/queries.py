@@ -16,6 +16,7 @@ from lurewatch.operators import anchored, geo, infra, lexical, threats
 from lurewatch.operators.whitelist import with_whitelisted
 from lurewatch.plans import check as C
 from lurewatch.plans import corpus
+from lurewatch.session import shared_folder
 from lurewatch.sources import config, feeds
 from lurewatch.streaming import jobs
 
@@ -60,10 +61,13 @@ def trust() -> Column:
 RAW_VIEWS = {"phishtank": "raw_phishtank", "urlhaus": "raw_urlhaus", "threatfox": "raw_threatfox"}
 
 
+def raw_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return corpus.view(spark, sf, RAW_VIEWS.get(name, "raw_lines"))
+
+
 def _feed(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        raw = corpus.view(spark, sf, RAW_VIEWS.get(name, "raw_lines"))
-        return feeds.NORMALISERS[name](raw)
+        return feeds.NORMALISERS[name](raw_view(spark, sf, name))
 
     return run
 
@@ -548,23 +552,54 @@ def client_quota(spark, sf):
         "event_id", "client", "window_start", "accepted")
 
 
+def landed(spark: SparkSession, frame: DataFrame, part: Column, kind: str, run: Callable[[str, bool], None]) -> None:
+    """Land the rows in three parts, 0 to 2, and after each have ``run`` take up what has landed; every
+    run starts anew from its checkpoint. ``run`` gets the folder and whether it is the last part."""
+    folder = shared_folder(spark, "landed")
+    rows = frame.withColumn("_part", F.coalesce(part, F.lit(0)))
+    for number in range(3):
+        rows.where(F.col("_part") == number).drop("_part").write.mode("append").format(kind).save(folder)
+        run(folder, number == 2)
+
+
+def in_thirds(frame: DataFrame, time: Column) -> Column:
+    """0 to 2 by time, in equal spans."""
+    low, high = frame.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    if low is None:
+        return F.lit(0)
+    return F.least(F.floor((F.unix_micros(time) - low) * 3 / max(high - low, 1)).cast("int"), F.lit(2))
+
+
 @query
 def stream_ingest(spark, sf):
-    """The page table read as a stream of feed lines into a threat table."""
-    lines = jobs.stream_table(spark, sf, "pages").select(F.col("url").alias("value"))
-    table = jobs.ingest(feeds.openphish(lines), F.timestamp_seconds(as_of()))
-    return jobs.read_table(spark, table).select("url", "url_hash", "source", "threat_type")
+    """All eight feeds landed as files in three parts and taken up as one stream."""
+    store, checkpoint = shared_folder(spark, "threats"), shared_folder(spark, "ingest")
+    folders = {name: shared_folder(spark, f"feed-{name}") for name in feeds.NORMALISERS}
+    for number in range(3):
+        for name, folder in folders.items():
+            raw = raw_view(spark, sf, name)
+            part = F.pmod(F.xxhash64("value"), F.lit(3))
+            raw.where(F.coalesce(part, F.lit(0)) == number).write.mode("append").text(folder)
+        arriving = feeds.union_feeds([feeds.read_feed(spark, name, folder, stream=True, wholetext=False)
+                                      for name, folder in folders.items()])
+        jobs.ingest(arriving, F.timestamp_seconds(as_of()), store, checkpoint, digits=1, compact_every=2)
+    return jobs.threat_store(spark, store, digits=1).read().select("url", "url_hash", "source", "threat_type")
 
 
 @query
 def stream_first_seen(spark, sf):
-    """Which (url, event type) pairs occur in the event stream, each kept once."""
-    events = corpus.view(spark, sf, "check_requests",
-                         events=jobs.stream_table(spark, sf, "events"))
-    arriving = events.select("url", F.col("client").alias("source"), F.lit("").alias("external_id"),
-                             F.lit("").alias("threat_type"))
-    table = jobs.ingest(arriving, F.timestamp_seconds(as_of()))
-    return jobs.read_table(spark, table).select("url", "source")
+    """Which (url, client) pairs occur in the event stream, each kept once."""
+    requests = corpus.view(spark, sf, "check_requests")
+    arriving = requests.select("url", F.col("client").alias("source"), F.lit("").alias("external_id"),
+                               F.lit("").alias("threat_type"), "ts")
+    store, checkpoint = shared_folder(spark, "threats"), shared_folder(spark, "ingest")
+
+    def run(folder: str, last: bool) -> None:
+        stream = spark.readStream.schema(arriving.schema).parquet(folder).withColumnRenamed("ts", "seq")
+        jobs.ingest(stream, F.timestamp_seconds(as_of()), store, checkpoint, digits=1)
+
+    landed(spark, arriving, in_thirds(arriving, F.col("ts")), "parquet", run)
+    return jobs.threat_store(spark, store, digits=1).read().select("url", "source")
 
 
 @query
@@ -577,9 +612,43 @@ def stream_check(spark, sf):
 
 @query
 def stream_reuse(spark, sf):
-    """The event stream with report reuse; the open windows are carried from batch to batch."""
-    events = corpus.view(spark, sf, "check_requests", events=jobs.stream_table(spark, sf, "events"))
-    table = jobs.run_windows(events, "url", "ts", "event_id", 6 * 3600)
+    """The event stream with report reuse. A third of the events arrives one hour late, a third two; the
+    rows wait until the clock has passed them."""
+    requests = corpus.view(spark, sf, "check_requests")
+    table, checkpoint = shared_folder(spark, "windows"), shared_folder(spark, "window-run")
+
+    def run(folder: str, last: bool) -> None:
+        stream = spark.readStream.schema(requests.schema).parquet(folder)
+        jobs.run_windows(stream, "url", "ts", "event_id", 6 * 3600, delay_seconds=3 * 3600,
+                         table=table, checkpoint=checkpoint, ended=last)
+
+    arrival = F.timestamp_micros(F.unix_micros("ts") + F.pmod("event_id", F.lit(3)) * 3_600_000_000)
+    landed(spark, requests, in_thirds(requests, arrival), "parquet", run)
     return jobs.read_table(spark, table).select(
         "event_id", "url", F.col("window_start").alias("computed_at"),
         (~F.col("opens")).alias("reused"))
+
+
+@query
+def report_store(spark, sf):
+    """The event stream answered from stored reports for six hours; allow-listed URLs are never stored."""
+    requests = corpus.view(spark, sf, "store_requests")
+    table, checkpoint = shared_folder(spark, "answers"), shared_folder(spark, "answering")
+
+    def make(rows: DataFrame) -> DataFrame:
+        return C.report_json(reports(spark, sf, rows))
+
+    def allow(rows: DataFrame) -> DataFrame:
+        return with_whitelisted(U.with_lookup_host(rows), config.WHITELIST, ["event_id"])
+
+    def run(folder: str, last: bool) -> None:
+        stream = spark.readStream.schema(requests.schema).parquet(folder)
+        jobs.run_reports(stream, make, allow, 6 * 3600, table=table, checkpoint=checkpoint, digits=1, compact_every=2)
+
+    landed(spark, requests, in_thirds(requests, F.col("ts")), "parquet", run)
+    answered = jobs.read_table(spark, table)
+    return answered.select(
+        "event_id", "computed_at", "reused", F.get_json_object("report", "$.target").alias("target"),
+        F.get_json_object("report", "$.verdict").alias("verdict"),
+        F.get_json_object("report", "$.risk_score").cast("int").alias("risk_score"),
+        F.get_json_object("report", "$.reason").alias("reason"))

@@ -26,6 +26,10 @@ CSV_LINE = rf"^{CSV_FIELD}(?:,{CSV_FIELD})*+\z"
 # -----------------------------------------------------------------------------------------------
 
 
+# Where a row of a landed file stands: the file's time, its path, the block and the place in the block.
+LANDED = ["landed_at", "landed_path", "landed_block"]
+
+
 # A JSON object with at most two levels of objects inside.
 _TEXT = r'"(?:[^"\\]++|\\.)*+"'
 JSON_OBJECT = rf'\{{(?:[^{{}}"]++|{_TEXT})*+\}}'
@@ -37,20 +41,24 @@ def _lines(raw: DataFrame) -> Column:
     return F.regexp_replace("value", r"\r\z", "")
 
 
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in LANDED if c in df.columns]
+
+
 def _threats(df: DataFrame, url: Column, source: str, kind: Column | str,
              external_id: Column | str = "") -> DataFrame:
     def column(value):
         return value if isinstance(value, Column) else F.lit(value)
 
     return df.select(url.alias("url"), F.lit(source).alias("source"),
-                     column(external_id).alias("external_id"), column(kind).alias("threat_type"))
+                     column(external_id).alias("external_id"), column(kind).alias("threat_type"), *_carried(df))
 
 
 def _line_feed(source: str, kind: str, comments: bool = False, domains: bool = False,
                trim: bool = False) -> Callable[[DataFrame], DataFrame]:
     def normalise(raw: DataFrame) -> DataFrame:
         line = _lines(raw)
-        df = raw.select((trimmed(line) if trim else line).alias("line")).where(F.col("line") != "")
+        df = raw.select((trimmed(line) if trim else line).alias("line"), *_carried(raw)).where(F.col("line") != "")
         if comments:
             df = df.where(~F.col("line").startswith("#"))
         url = F.concat(F.lit("http://"), "line") if domains else F.col("line")
@@ -72,29 +80,29 @@ def phishtank(raw: DataFrame) -> DataFrame:
     an absent or null id reads as 0, an absent or null URL as the empty text. Of a document that is
     broken or cut off, the objects that are whole are read."""
     whole = F.transform(F.regexp_extract_all("value", F.lit(f"({JSON_OBJECT})"), F.lit(1)), F.try_parse_json)
-    items = raw.select(F.explode(F.coalesce(F.from_json("value", "array<variant>"), whole)).alias("item"))
+    items = raw.select(F.explode(F.coalesce(F.from_json("value", "array<variant>"), whole)).alias("item"), *_carried(raw))
     kind = F.schema_of_variant("item")
     items = items.where(kind.startswith("OBJECT")).select(
         F.try_variant_get("item", "$.phish_id", "variant").alias("id"),
-        F.try_variant_get("item", "$.url", "variant").alias("url"))
+        F.try_variant_get("item", "$.url", "variant").alias("url"), *_carried(raw))
 
     def typed(name: str, wanted: str, default: str) -> Column:
         shape = F.coalesce(F.schema_of_variant(name), F.lit("VOID"))
         text = F.try_variant_get(name, "$", "string")
         return F.when(shape == "VOID", default).when(shape == wanted, text)
 
-    df = items.select(typed("id", "BIGINT", "0").alias("id"), typed("url", "STRING", "").alias("url"))
-    return _threats(df.dropna(), F.col("url"), "phishtank", "phishing", F.col("id"))
+    df = items.select(typed("id", "BIGINT", "0").alias("id"), typed("url", "STRING", "").alias("url"), *_carried(raw))
+    return _threats(df.dropna(subset=["id", "url"]), F.col("url"), "phishtank", "phishing", F.col("id"))
 
 
 def urlhaus(raw: DataFrame) -> DataFrame:
     """CSV lines with ``#`` comments: id first, URL third. Lines of fewer than three fields and
     malformed lines (a bare quote, say) are skipped."""
     line = _lines(raw)
-    df = raw.select(line.alias("line")).where(
+    df = raw.select(line.alias("line"), *_carried(raw)).where(
         (F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(CSV_LINE))
     df = df.select(F.regexp_extract_all(
-        "line", F.lit(rf"(?:^|,)({CSV_FIELD})"), F.lit(1)).alias("fields"))
+        "line", F.lit(rf"(?:^|,)({CSV_FIELD})"), F.lit(1)).alias("fields"), *_carried(raw))
     df = df.where(F.size("fields") >= 3)
 
     def field(index: int) -> Column:
@@ -112,8 +120,8 @@ def threatfox(raw: DataFrame) -> DataFrame:
     parsed = F.from_json("value", shape)
     broken = parsed.isNull() & (F.trim("value") != "")
     parsed = F.when(broken, F.raise_error(F.lit("threatfox: not a JSON object of lists")).cast(shape)).otherwise(parsed)
-    entries = raw.select(F.explode(parsed).alias("id", "items"))
-    iocs = entries.select("id", F.inline("items")).where(F.col("ioc_type").isin(KEPT_IOC_TYPES))
+    entries = raw.select(F.explode(parsed).alias("id", "items"), *_carried(raw))
+    iocs = entries.select("id", F.inline("items"), *_carried(raw)).where(F.col("ioc_type").isin(KEPT_IOC_TYPES))
     return _threats(iocs, F.coalesce("ioc_value", F.lit("")), "threatfox",
                     F.coalesce("threat_type", F.lit("")), F.col("id"))
 
@@ -131,15 +139,27 @@ NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 DOCUMENT_FEEDS = {"phishtank", "threatfox"}  # one JSON document per file
 
 
-def read_raw(spark: SparkSession, feed: str, path: str, stream: bool = False) -> DataFrame:
-    """Landed files of one feed as ``value``: lines, or whole documents for the JSON feeds."""
+def read_raw(spark: SparkSession, feed: str, path: str, stream: bool = False, **options) -> DataFrame:
+    """Landed files of one feed as ``value``, with where they stand: lines, or whole documents for the
+    JSON feeds (``wholetext=False``: a document per line)."""
     reader = spark.readStream if stream else spark.read
-    options = {"wholetext": True} if feed in DOCUMENT_FEEDS else {"lineSep": "\n"}
-    return reader.format("text").options(**options).load(path)
+    options = {"wholetext": feed in DOCUMENT_FEEDS, "lineSep": "\n"} | options
+    landed = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
+    return reader.format("text").options(**options).load(path).select(
+        "value", *[F.col(source).alias(name) for source, name in zip(landed, LANDED)])
+
+
+def read_feed(spark: SparkSession, feed: str, path: str, stream: bool = False, **options) -> DataFrame:
+    """A feed's rows, with the columns ``LANDED`` that their order of arrival is made of."""
+    return NORMALISERS[feed](read_raw(spark, feed, path, stream, **options))
+
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of landed files with ``seq``, which sorts them by file time, path and place in the file.
 
-def read_feed(spark: SparkSession, feed: str, path: str, stream: bool = False) -> DataFrame:
-    return NORMALISERS[feed](read_raw(spark, feed, path, stream))
+    Must come before anything that moves rows: rows of one block of a file are then still in one
+    partition in their order, which the growing row id keeps."""
+    return rows.withColumn("seq", F.struct(*LANDED, F.monotonically_increasing_id().alias("place"))).drop(*LANDED)
 
 
 def union_feeds(frames: list[DataFrame]) -> DataFrame:

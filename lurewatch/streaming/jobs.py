@@ -11,12 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lurewatch.operators import anchored, threats
-from lurewatch.operators.joins import fits_broadcast
-from lurewatch.session import shared_folder
+from lurewatch.operators import anchored, reports, threats
+from lurewatch.operators.joins import flag
+from lurewatch.session import checkpointed, shared_folder
+from lurewatch.sources import feeds
+from lurewatch.sources.keyed import KeyedTable
 
 BATCH = "batch_id"
+THREATS = T.StructType([T.StructField(name, T.TimestampType() if name == "created_at" else T.StringType())
+                        for name in threats.STORED])
 
 
 def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -34,13 +39,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
-def _before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
-    """What earlier batches wrote; rows of this batch from a failed attempt are not read."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).where(F.col(BATCH) < batch).drop(BATCH)
-
-
 def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
 
@@ -52,26 +50,33 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def ingest(arriving: DataFrame, as_of: Column, table: str | None = None,
-           checkpoint: str | None = None) -> str:
-    """Feed rows into the threat table; the first row per (url_hash, source) ever seen stays. Returns
-    the table's path."""
+def threat_store(spark: SparkSession, path: str, digits: int = 2) -> KeyedTable:
+    """The threat table in folders by URL hash."""
+    return KeyedTable(spark, path, "url_hash", THREATS, digits)
+
+
+def ingest(arriving: DataFrame, as_of: Column, table: str | None = None, checkpoint: str | None = None,
+           digits: int = 2, compact_every: int = 50) -> KeyedTable:
+    """Feed rows into the threat table; the first row per (url_hash, source) ever seen stays, first by
+    ``seq`` or by where it stood in the landed files. Of the stored table a batch reads only folders that
+    may hold its URLs. Every ``compact_every`` batches those before the running one become one."""
     spark = arriving.sparkSession
-    table = table or shared_folder(spark, "threats")
+    store = threat_store(spark, table or shared_folder(spark, "threats"), digits)
 
     def each(batch: DataFrame, number: int) -> None:
-        columns = batch.columns if "seq" in batch.columns else [*batch.columns, F.lit(0).alias("seq")]
-        rows = threats.first_per_key(threats.with_hash(batch.select(*columns)))
-        schema = rows.drop("seq").withColumn("created_at", as_of).select(*threats.STORED).schema
-        stored = _before(spark, table, number, schema).select(*threats.KEY)
-        keys = rows.select(*threats.KEY)
-        if fits_broadcast(keys):  # the stored table is then scanned, but not shuffled
-            stored = stored.join(F.broadcast(keys), threats.KEY, "left_semi")
-        fresh = rows.join(stored, threats.KEY, "left_anti")
-        _write(fresh.withColumn("created_at", as_of).select(*threats.STORED), table, number)
+        if set(feeds.LANDED) <= set(batch.columns):
+            batch = feeds.in_order(batch)
+        elif "seq" not in batch.columns:  # rows of one batch without an order of their own
+            batch = batch.withColumn("seq", F.struct("external_id", "threat_type"))
+        rows = checkpointed(threats.first_per_key(threats.with_hash(batch)))
+        known = store.lookup(rows.select("url_hash"), number).select(*threats.KEY)
+        fresh = rows.join(known, threats.KEY, "left_anti").withColumn("created_at", as_of)
+        store.append(fresh, number)
+        if number and number % compact_every == 0:
+            store.compact(number - 1)
 
     _run(arriving, each, checkpoint or shared_folder(spark, "ingest"))
-    return table
+    return store
 
 
 def run_check(requests: DataFrame, check: Callable[[DataFrame], DataFrame],
@@ -88,38 +93,74 @@ def run_check(requests: DataFrame, check: Callable[[DataFrame], DataFrame],
     return table
 
 
-def run_windows(events: DataFrame, key: str, time: str, order: str, seconds: int,
-                table: str | None = None, checkpoint: str | None = None, **options) -> str:
-    """Anchored windows over a stream whose rows arrive in time order. The windows still open at the
-    end of a batch are the state: they enter the next batch as rows of their own. A row older than its
-    key's open window counts as belonging to it."""
+def run_windows(events: DataFrame, key: str, time: str, order: str, seconds: int, delay_seconds: int = 0,
+                table: str | None = None, checkpoint: str | None = None, ended: bool = False, **options) -> str:
+    """Anchored windows over a stream by event time.
+
+    The clock is the newest time seen less the delay. Rows up to the clock are placed; newer ones wait
+    until it has passed them, so rows that arrive out of order within the delay get the windows of their
+    order in time. Rows older than the clock already was are too late: they are in no window and are
+    listed in ``<table>-late``. The state between batches is the waiting rows, the clock, and the windows
+    that have not ended by it; an ended window is dropped. ``ended`` says that nothing follows, so no row
+    waits. All of it is handled by the batch operators, so
+    a key with very many rows is split as it is there."""
     spark = events.sparkSession
     table = table or shared_folder(spark, "windows")
-    state = f"{table}-open"
+
+    def state(name: str, number: int, schema) -> DataFrame:
+        path = f"{table}-{name}/{BATCH}={number}"
+        return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
     def each(batch: DataFrame, number: int) -> None:
-        previous = f"{state}/{BATCH}={number - 1}"
-        if _exists(spark, previous):
-            carried = spark.read.parquet(previous)
-        else:
-            carried = spark.createDataFrame([], batch.select(key, F.col(time).alias("_start")).schema)
-        rows = batch.join(carried, key, "left").withColumn(
-            "_at", F.greatest(F.col(time), F.coalesce("_start", F.col(time)))).drop("_start")
-        # Rows of the batch by column; a carried window has a NULL order, which sorts first.
-        seeds = carried.select(key, F.col("_start").alias("_at"))
-        both = rows.unionByName(seeds, allowMissingColumns=True)
-        marked = anchored.window_starts(both, key, "_at", order, seconds, **options)
-        _write(marked.where(F.col(order).isNotNull()).drop("_at"), table, number)
-        written = spark.read.parquet(f"{table}/{BATCH}={number}")
-        latest = written.groupBy(key).agg(F.max("window_start").alias("_start"))
-        horizon = written.agg(F.max(time).alias("_now"))
-        everything = latest.unionByName(carried).groupBy(key).agg(F.max("_start").alias("_start"))
-        newest = horizon.first()["_now"]
-        if newest is not None:
-            end = F.timestamp_micros(F.unix_micros("_start") + seconds * 1_000_000)
-            everything = everything.where(end > F.lit(newest))
-        _write(everything, state, number)
+        arrived = checkpointed(batch)
+        plain = arrived.schema
+        seeds = arrived.select(key, F.col(time).alias("_start")).schema
+        clock = state("clock", number - 1, "now timestamp").first()
+        past = clock["now"] if clock else None
+        newest = arrived.agg(F.timestamp_micros(F.max(F.unix_micros(time)) - delay_seconds * 1_000_000)).first()[0]
+        now = max((t for t in (past, newest) if t is not None), default=None)
+        until = None if ended else now
+        is_late = flag(F.col(time) < F.lit(past)) if past is not None else F.lit(False)
+        _write(arrived.where(is_late), f"{table}-late", number)
+        rows = arrived.where(~is_late).unionByName(state("waiting", number - 1, plain))
+        waits = flag(F.col(time) > F.lit(until)) if until is not None else F.lit(False)
+        _write(rows.where(waits), f"{table}-waiting", number)
+
+        opened = state("open", number - 1, seeds)
+        # An open window enters as a row of its own; its order is NULL, which sorts first.
+        both = rows.where(~waits).unionByName(opened.select(key, F.col("_start").alias(time)), allowMissingColumns=True)
+        marked = anchored.window_starts(both, key, time, order, seconds, **options)
+        _write(marked.where(F.col(order).isNotNull()), table, number)
+        latest = spark.read.parquet(f"{table}/{BATCH}={number}").select(key, F.col("window_start").alias("_start"))
+        end = F.timestamp_micros(F.unix_micros("_start") + seconds * 1_000_000)
+        lasting = latest.unionByName(opened).where(end > F.lit(now)) if now is not None else opened
+        _write(lasting.groupBy(key).agg(F.max("_start").alias("_start")), f"{table}-open", number)
+        _write(spark.createDataFrame([(now,)], "now timestamp"), f"{table}-clock", number)
 
     _run(events, each, checkpoint or shared_folder(spark, "window-run"))
     return table
 
+
+def late_rows(spark: SparkSession, table: str) -> DataFrame:
+    """Rows that came too late for any window."""
+    return read_table(spark, f"{table}-late")
+
+
+def run_reports(requests: DataFrame, make: Callable[[DataFrame], DataFrame], allow: Callable[[DataFrame], DataFrame],
+                seconds: int, store: KeyedTable | None = None, table: str | None = None, checkpoint: str | None = None,
+                digits: int = 2, compact_every: int = 50, **options) -> str:
+    """Requests in time order, answered from stored reports while these are valid. Every
+    ``compact_every`` batches the stored batches become one without the reports that have expired."""
+    spark = requests.sparkSession
+    table = table or shared_folder(spark, "answers")
+    store = store or reports.report_table(spark, f"{table}-store", digits)
+
+    def each(batch: DataFrame, number: int) -> None:
+        _write(reports.serve(batch, make, allow, store, number, seconds, **options), table, number)
+        if number and number % compact_every == 0:
+            oldest = spark.read.parquet(f"{table}/{BATCH}={number}").agg(F.min(options.get("time", "ts"))).first()[0]
+            if oldest is not None:
+                store.compact(number - 1, reports.unexpired(F.lit(oldest), seconds))
+
+    _run(requests, each, checkpoint or shared_folder(spark, "answering"))
+    return table
