@@ -24,7 +24,7 @@ from lurewatch.session import checkpointed
 
 # A key with more rows than this is not streamed through one task.
 LARGE_KEY_ROWS = 1_000_000
-# Blocks per window length in which large keys are sorted.
+# Blocks per window length in which large keys are sorted, and blocks that are searched at once.
 BLOCKS = 64
 
 
@@ -60,7 +60,7 @@ def _marked(
         return timestamps(_streamed(timed, key, order, length).unionByName(outside)), None
     names = checkpointed(large.select(key))
     small = _streamed(timed.join(names, key, "left_anti"), key, order, length).unionByName(outside)
-    big = _by_doubling(timed.join(names, key, "left_semi"), key, order, length)
+    big = _by_doubling(timed.join(names, key, "left_semi"), key, order, length, large_rows)
     return timestamps(small), timestamps(big)
 
 
@@ -98,15 +98,16 @@ def _streamed(timed: DataFrame, key: str, order: str, length: int) -> DataFrame:
     return ordered.mapInArrow(mark, schema)
 
 
-def _by_doubling(timed: DataFrame, key: str, order: str, length: int) -> DataFrame:
+def _by_doubling(timed: DataFrame, key: str, order: str, length: int, large_rows: int) -> DataFrame:
     """Window starts of large keys. Each distinct moment points to the first moment at least a window
     length later; following the pointers from a key's first moment gives the starts. Pointers are
     doubled every round, so 2^n windows take n rounds."""
     moments = checkpointed(timed.groupBy(key, "_us").agg(F.min(order).alias("_first")))
-    hops = checkpointed(_next_moments(moments.select(key, "_us"), key, length))
     starts = moments.groupBy(key).agg(F.min("_us").alias("_us"))
-    span = moments.groupBy(key).agg((F.max("_us") - F.min("_us")).alias("span"))
-    windows = (span.agg(F.max("span")).first()[0] or 0) // length + 1
+    ends = moments.agg(F.min("_us"), F.max("_us")).first()
+    span = (ends[1] or 0) - (ends[0] or 0)
+    hops = checkpointed(_next_moments(moments.select(key, "_us"), key, length, ends[0] or 0, span))
+    windows = span // length + 1
     reach = 1
     while reach <= windows:
         onward = starts.join(hops, [key, "_us"]).select(key, F.col("_next").alias("_us"))
@@ -117,25 +118,30 @@ def _by_doubling(timed: DataFrame, key: str, order: str, length: int) -> DataFra
             hops = checkpointed(hops.join(further, [key, "_next"]).select(
                 key, "_us", F.col("_far").alias("_next")))
     # A window covers moments of two neighbouring cells of its own length at most, and a cell holds one
-    # start at most: the window of an event is found by cell.
+    # start at most: the window of an event is found by cell. Where a cell has many rows, they are dealt
+    # to slices, and each slice gets its copy of the starts.
+    cell = F.floor(F.col("_us") / length)
+    fullest = timed.groupBy(key, cell.alias("_cell")).count().agg(F.max("count")).first()[0] or 0
+    slices = max(1, -(-fullest // max(large_rows, 1)))
     known = starts.join(moments, [key, "_us"]).select(
-        key, F.col("_us").alias("_start"), "_first",
-        F.explode(F.array(F.floor(F.col("_us") / length), F.floor(F.col("_us") / length) + 1)).alias("_cell"))
-    located = timed.withColumn("_cell", F.floor(F.col("_us") / length)).join(known, [key, "_cell"])
+        key, F.col("_us").alias("_start"), "_first", F.explode(F.array(cell, cell + 1)).alias("_cell"))
+    known = known.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = timed.withColumns({"_cell": cell, "_slice": F.pmod(F.xxhash64(order), F.lit(slices)).cast("int")})
+    located = dealt.join(known, [key, "_cell", "_slice"])
     located = located.where(F.col("_us").between(F.col("_start"), F.col("_start") + (length - 1)))
     opens = (F.col("_us") == F.col("_start")) & (F.col(order) == F.col("_first"))
-    return located.withColumn("opens", opens).drop("_cell", "_first").select(
+    return located.withColumn("opens", opens).select(
         *timed.columns, "opens", "_start")
 
 
-def _next_moments(moments: DataFrame, key: str, length: int) -> DataFrame:
+def _next_moments(moments: DataFrame, key: str, length: int, first: int, span: int) -> DataFrame:
     """``key, _us, _next``: the first moment at or after ``_us`` plus the length; rows without one are
-    left out. Sorting happens within small blocks of time; only the first moment of each block, whose
-    number is bounded by the time span, is sorted per key."""
-    width = length // BLOCKS
+    left out. Moments are sorted within small blocks of time; if none follows in the block, the next
+    block with moments is searched level by level."""
+    width = max(length // BLOCKS, 1)
 
     def block(column: str) -> F.Column:
-        return F.floor(F.col(column) / width)
+        return F.floor((F.col(column) - first) / width)
 
     points = moments.select(key, F.col("_us").alias("_at"), F.col("_us").alias("_seen"),
                             F.lit(None).cast("bigint").alias("_us"))
@@ -145,16 +151,32 @@ def _next_moments(moments: DataFrame, key: str, length: int) -> DataFrame:
     in_block = Window.partitionBy(key, "_block").orderBy(F.desc("_at"), F.col("_seen").desc())
     both = both.withColumn("_hit", F.last("_seen", ignorenulls=True).over(
         in_block.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    # In falling order the blocks before a row are the later ones; such a frame is extended row by row.
-    later = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = both.groupBy(key, "_block").agg(F.min("_seen").alias("_min"))
-    blocks = blocks.withColumn("_later", F.last("_min", ignorenulls=True).over(later))
+    blocks = checkpointed(both.groupBy(key, "_block").agg(F.min("_seen").alias("_min")))
+    levels = 0
+    while BLOCKS ** (levels + 1) <= (span + length) // width:
+        levels += 1
     probed = both.where(F.col("_us").isNotNull())
-    joined = probed.join(blocks.select(key, "_block", "_later"), [key, "_block"])
+    joined = probed.join(_with_later(blocks, key, levels).select(key, "_block", "_later"), [key, "_block"])
     return joined.select(key, "_us", F.coalesce("_hit", "_later").alias("_next")).where(
         F.col("_next").isNotNull())
 
 
+def _with_later(blocks: DataFrame, key: str, levels: int) -> DataFrame:
+    """Add ``_later``, the ``_min`` of the next block that has one. It is in the same group of ``BLOCKS``
+    blocks, or it is that of the next group with any, which is found in the same way; so no more than
+    that many rows are sorted together, however long a key's time span is."""
+    blocks = blocks.withColumn("_group", F.floor(F.col("_block") / BLOCKS))
+    # In falling order the blocks before a row are the later ones; such a frame is extended row by row.
+    later = Window.partitionBy(key, "_group").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.withColumn("_later", F.last("_min", ignorenulls=True).over(later))
+    if not levels:  # block 0 is the first of all, so there is one group
+        return found.drop("_group")
+    groups = checkpointed(blocks.groupBy(key, F.col("_group").alias("_block")).agg(F.min("_min").alias("_min")))
+    above = _with_later(groups, key, levels - 1).select(
+        key, F.col("_block").alias("_group"), F.col("_later").alias("_above"))
+    return found.join(above, [key, "_group"]).withColumn("_later", F.coalesce("_later", "_above")).drop("_group", "_above")
+
+
 def report_reuse(requests: DataFrame, seconds: int = 600, key: str = "url", order: str = "event_id",
                  **options) -> DataFrame:
     """Each request with whether the report of an earlier request for the same key is reused, and when

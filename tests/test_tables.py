@@ -75,6 +75,22 @@ def test_windows_of_large_keys_equal_streamed_ones(spark):
         assert {r["event_id"]: (r["window_start"], r["opens"]) for r in got.collect()} == want
 
 
+def test_one_large_key_over_many_windows(spark):
+    """10,000 windows of one key, with gaps from a second to weeks, equal to the streamed path."""
+    chance = random.Random(2)
+    at, rows = datetime.datetime(2024, 1, 1), []
+    for window in range(10_000):
+        at += datetime.timedelta(seconds=60 + (chance.randrange(2_000_000) if window % 500 == 0 else chance.randrange(3)))
+        rows += [(len(rows) + i, "k", at + datetime.timedelta(milliseconds=chance.randrange(59_000) if i else 0)) for i in range(20)]
+    rows += [(len(rows) + i, "k", at + datetime.timedelta(seconds=i // 1000)) for i in range(5_000)]  # one full window
+    events = spark.createDataFrame(rows, "event_id int, k string, ts timestamp").repartition(4)
+    small, big = (anchored.window_starts(events, "k", "ts", "event_id", 60, large_rows=large) for large in (10**6, 1_000))
+    keyed = ["event_id", F.col("window_start").alias("w"), F.col("opens").alias("o")]
+    both = small.select(*keyed).join(big.select("event_id", "window_start", "opens"), "event_id", "full")
+    assert both.where("NOT (w <=> window_start AND o <=> opens)").count() == 0 and both.count() == len(rows)
+    assert small.where("opens").count() >= 10_000
+
+
 def test_golden_report(spark):
     urls = spark.createDataFrame(
         [(1, "http://zygospor.ru"), (2, "https://docs.google.com/x")], "id int, url string")
