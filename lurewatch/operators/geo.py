@@ -1,4 +1,12 @@
-"""IPv4 range lookup: network owner and country of an address."""
+"""Range lookup: network owner and country of an IPv4 or IPv6 address.
+
+Tables of ranges come in two forms: IPv4 numbers from ``start_ip`` to ``end_ip``, or a ``network`` such as
+``2001:db8::/32`` or ``192.0.2.0/24``. Either way a range becomes prefixes of the 128-bit address, IPv4
+being the lowest 32 bits, and an address meets them by equal keys: its prefix of each length that occurs
+in the table. The narrowest range wins.
+
+Defined results: an address that is neither IPv4 nor IPv6 is in no range; ``::ffff:a.b.c.d`` is the IPv4
+address; a network with bits beyond its length is cut to it; one that cannot be read holds nothing."""
 
 from __future__ import annotations
 
@@ -7,17 +15,58 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators.joins import lookup_join
 
-# Ranges are cut into prefixes, as in address blocks: a range of 32-bit numbers has at most 62. An
-# address looks up its prefix of every length, so that all joins are on equal keys.
-BITS = 32
+# Ranges of IPv4 numbers are cut into prefixes, as in address blocks: one has at most 62.
+BITS, ALL_BITS = 32, 128
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
 def ip_number(ip: Column) -> Column:
     """A dotted IPv4 address as a number; NULL for anything else."""
     octets = F.transform(F.split(ip, "[.]"), lambda part: part.cast("bigint"))
     number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda total, part: total * 256 + part)
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    return F.when(ip.rlike(rf"^({octet}\.){{3}}{octet}\z"), number)
+    return F.when(ip.rlike(rf"^({OCTET}\.){{3}}{OCTET}\z"), number)
+
+
+def ip_digits(ip: Column) -> Column:
+    """An address as 32 hexadecimal digits, IPv4 with 24 zeros in front; NULL for anything else."""
+    low = F.lower(ip)
+    tail = F.regexp_extract(low, rf"(?<=:)((?:{OCTET}\.){{3}}{OCTET})\z", 1)
+    tail_digits = F.lpad(F.lower(F.hex(ip_number(tail))), 8, "0")
+    head = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
+    text = F.when(tail == "", low).otherwise(
+        F.concat(head, F.substring(tail_digits, 1, 4), F.lit(":"), F.substring(tail_digits, 5, 4)))
+    halves = F.split(text, "::")
+
+    def groups(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    given, every = F.size(left) + F.size(right), F.concat(left, right)
+    whole = ((F.size(halves) == 1) & (given == 8)) | ((F.size(halves) == 2) & (given <= 7))
+    whole = whole & F.forall(every, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+
+    def padded(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+
+    digits = F.concat(padded(left), F.repeat(F.lit("0000"), 8 - given), padded(right))
+    digits = F.when(digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("0" * 24), F.substring(digits, 25, 8))).otherwise(digits)
+    return F.when(ip_number(ip).isNotNull(), F.lpad(F.lower(F.hex(ip_number(ip))), 32, "0")).otherwise(F.when(whole, digits))
+
+
+def _halves(digits: Column) -> tuple[Column, Column]:
+    """The two 64-bit halves as signed numbers."""
+    return tuple(F.conv(F.substring(digits, at, 16), 16, -10).cast("bigint") for at in (1, 17))
+
+
+def _masked(digits: Column, length: Column) -> tuple[Column, Column]:
+    """The first ``length`` bits, as key columns."""
+    high, low = _halves(digits)
+    zero = F.lit(0).cast("bigint")
+
+    def first(half: Column, bits: Column) -> Column:
+        return F.when(bits <= 0, zero).otherwise(F.call_function("shiftright", half, F.greatest(64 - bits, F.lit(0))))
+
+    return first(high, F.least(length, F.lit(64))), first(low, length - 64)
 
 
 def _prefixes(ranges: DataFrame) -> DataFrame:
@@ -48,16 +97,33 @@ def _prefixes(ranges: DataFrame) -> DataFrame:
     return cut.select("*", F.inline(F.aggregate(sizes, start, halve, lambda s: s["found"])))
 
 
-def range_lookup(addresses: DataFrame, ranges: DataFrame, values: list[str]) -> DataFrame:
-    """For distinct ``ip, number`` rows, the values of the narrowest range holding the number.
-    Addresses in no range are left out."""
+def _keyed(ranges: DataFrame, values: list[str]) -> DataFrame:
+    """Prefixes of the ranges: length and bits, ``_rank`` (narrow ranges first, then low ones), values."""
+    if "network" in ranges.columns:
+        address = F.split("network", "/")
+        given = F.get(address, F.lit(1)).try_cast("int")
+        most = F.when(F.get(address, F.lit(0)).contains(":"), ALL_BITS).otherwise(BITS)
+        length = F.when(given.between(0, most), given + ALL_BITS - most).alias("_length")
+        cut = ranges.select(*values, ip_digits(F.get(address, F.lit(0))).alias("_digits"), length).dropna(subset=["_digits", "_length"])
+        high, low = _masked(F.col("_digits"), F.col("_length"))
+        rank = F.struct((ALL_BITS - F.col("_length")).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("low"))
+        return cut.select(*values, "_length", high.alias("_high"), low.alias("_low"), rank.alias("_rank"))
     blocks = _prefixes(ranges.select("start_ip", "end_ip", *values))
-    probes = addresses.where(F.col("number").isNotNull()).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(BITS))).alias("_size")).withColumn(
-        "_block", F.floor(F.col("number") / F.pow(F.lit(2.0), F.col("_size"))))
-    hits = probes.join(blocks, ["_size", "_block"])
-    best = F.min_by(F.struct(*values), F.struct(
-        F.col("end_ip") - F.col("start_ip"), F.col("start_ip")))
+    rank = F.struct((F.col("end_ip") - F.col("start_ip")).alias("width"), F.col("start_ip").alias("low"))
+    return blocks.select(*values, (ALL_BITS - F.col("_size")).alias("_length"), F.lit(0).cast("bigint").alias("_high"),
+                         F.col("_block").alias("_low"), rank.alias("_rank"))
+
+
+def range_lookup(addresses: DataFrame, ranges: DataFrame, values: list[str]) -> DataFrame:
+    """For distinct ``ip`` rows, the values of the narrowest range holding the address. Addresses in no
+    range are left out."""
+    blocks = _keyed(ranges, values)
+    lengths = blocks.agg(F.collect_set("_length").alias("lengths")).scalar()  # 129 at most
+    asked = addresses.select("ip", ip_digits(F.col("ip")).alias("_digits")).where("_digits IS NOT NULL")
+    probes = asked.select("*", F.explode(lengths).alias("_length"))
+    high, low = _masked(F.col("_digits"), F.col("_length"))
+    hits = probes.select("ip", "_length", high.alias("_high"), low.alias("_low")).join(blocks, ["_length", "_high", "_low"])
+    best = F.min_by(F.struct(*values), F.struct("_rank", *values))
     return hits.groupBy("ip").agg(best.alias("_best")).select("ip", "_best.*")
 
 
@@ -70,17 +136,17 @@ def geo_lookup(
     Without a network table the owner is ``Unknown``; with one, an address it does not hold has the
     owner ``''``. Rows without an address get NULL throughout."""
     addresses = df.select(F.col(ip).alias("ip")).where(F.col("ip").isNotNull()).distinct()
-    numbered = addresses.withColumn("number", ip_number(F.col("ip")))
     found = addresses
     no_text, no_number = F.lit(""), F.lit(0).cast("bigint")
     if country_ranges is not None:
-        found = found.join(range_lookup(numbered, country_ranges, ["country"]), "ip", "left")
+        found = found.join(range_lookup(addresses, country_ranges, ["country"]), "ip", "left")
     else:
         found = found.withColumn("country", F.lit(None).cast("string"))
     if asn_ranges is not None:
-        named = asn_ranges.select("start_ip", "end_ip", F.col("asn").cast("bigint").alias("asn"),
+        held = ["network"] if "network" in asn_ranges.columns else ["start_ip", "end_ip"]
+        named = asn_ranges.select(*held, F.col("asn").cast("bigint").alias("asn"),
                                   F.col("org").alias("isp"))
-        found = found.join(range_lookup(numbered, named, ["isp", "asn"]), "ip", "left")
+        found = found.join(range_lookup(addresses, named, ["isp", "asn"]), "ip", "left")
         found = found.withColumn("isp", F.coalesce("isp", no_text))
     else:
         found = found.withColumns({"isp": F.lit("Unknown"), "asn": F.lit(None).cast("bigint")})

@@ -128,6 +128,20 @@ FROM {supplier} JOIN config_hosting h ON h.id = s_suppkey % 20 + 1"""),
 SELECT CAST(n_nationkey AS BIGINT) * 134217728 AS start_ip, CAST(n_nationkey AS BIGINT) * 134217728 + 134217727 AS end_ip,
   CASE WHEN n_nationkey % 2 = 0 THEN 'Germany' ELSE g.country END AS country
 FROM {nation} JOIN config_geo_risks g ON g.id = n_nationkey % 13 + 1"""),
+    "dns_v6": ("", """
+SELECT host, n, CASE n % 5 WHEN 0 THEN concat('2001:db8:', lower(hex(n % 16)), '::', lower(hex(n)))
+  WHEN 1 THEN concat('2001:0DB8:', lpad(hex(n % 16), 4, '0'), ':0:0:0:0:', hex(n))
+  WHEN 2 THEN concat('::ffff:', CAST(n % 223 + 1 AS VARCHAR(3)), '.2.3.', CAST(n % 256 AS VARCHAR(3)))
+  WHEN 3 THEN concat('2001:db8:', hex(n % 16), CASE WHEN n % 2 = 0 THEN ':::1' ELSE '::1%eth0' END)
+  ELSE concat('2a00:', lower(hex(n % 8192)), '::') END AS ip
+FROM host_dim"""),
+    "asn_networks": ("", """
+SELECT concat('2001:db8:', lower(hex(n_nationkey)), '::/48') AS network, 100 + n_nationkey AS asn, concat('SITE ', n_name) AS org
+FROM {nation} WHERE n_nationkey % 2 = 0 AND n_nationkey < 16
+UNION ALL SELECT concat('2001:DB8:', hex(n_nationkey), ':0::1/64') AS network, 200 + n_nationkey AS asn, 'LAN' AS org
+FROM {nation} WHERE n_nationkey % 4 = 0 AND n_nationkey < 16
+UNION ALL SELECT CASE n_nationkey WHEN 0 THEN '2001:db8::/32' WHEN 1 THEN '2a00:1000::/20' WHEN 2 THEN '1.0.0.0/8' WHEN 3 THEN 'x/33' ELSE '2a00::/129' END AS network,
+  n_nationkey AS asn, n_name AS org FROM {nation} WHERE n_nationkey < 5"""),
     "http_obs": ("", """
 SELECT page_id, url,
   CASE page_id % 7 WHEN 0 THEN concat(html, '<input type="password">') WHEN 1 THEN concat('<INPUT TYPE=password>', html)
@@ -156,7 +170,7 @@ SELECT CASE url_id % 7
   WHEN 3 THEN concat(CAST(url_id AS VARCHAR(20)), ',short')
   WHEN 4 THEN concat(CAST(url_id AS VARCHAR(20)), ',bare"quote,', url)
   WHEN 5 THEN concat('"', CAST(url_id AS VARCHAR(20)), '","a ""b"", c","', url, '","on"')
-  ELSE '' END AS value FROM url_corpus"""),
+  ELSE CASE WHEN url_id % 2 = 0 THEN concat('"', CAST(url_id AS VARCHAR(20)), '","two', chr(10), 'lines, ""quoted"",', chr(13), chr(10), '# no comment', chr(10), '","', url, '"') ELSE '' END END AS value FROM url_corpus"""),
     "raw_lines": ("", """
 SELECT CASE url_id % 7 WHEN 0 THEN '' WHEN 1 THEN concat('# ', url) WHEN 2 THEN concat(url, chr(13)) WHEN 3 THEN concat('  ', url, ' ')
   WHEN 4 THEN '   ' ELSE url END AS value FROM url_corpus"""),

@@ -301,7 +301,10 @@ FEEDS = {
     "phishtank": f"""SELECT coalesce(item->>'$.url', '') AS url, 'phishtank' AS source, CASE WHEN {ITEM.format('phish_id')} IN ('BIGINT', 'UBIGINT') THEN item->>'$.phish_id' ELSE '0' END AS external_id, 'phishing' AS threat_type
 FROM (SELECT unnest(from_json(value, '["JSON"]')) AS item FROM raw_phishtank) WHERE json_type(item) = 'OBJECT'
 AND coalesce({ITEM.format('phish_id')}, 'NULL') IN ('NULL', 'BIGINT', 'UBIGINT') AND coalesce({ITEM.format('url')}, 'NULL') IN ('NULL', 'VARCHAR')""",
-    "urlhaus": """SELECT url, 'urlhaus' AS source, CAST(url_id AS VARCHAR) AS external_id, '' AS threat_type FROM url_corpus WHERE url_id % 7 IN (1, 2, 5)""",
+    "urlhaus": """SELECT CASE WHEN left(f[3], 1) = '"' THEN replace(f[3][2:-2], '""', '"') ELSE f[3] END AS url, 'urlhaus' AS source,
+  CASE WHEN left(f[1], 1) = '"' THEN replace(f[1][2:-2], '""', '"') ELSE f[1] END AS external_id, '' AS threat_type
+FROM (SELECT regexp_extract_all(concat(',', text), ',("([^"]|"")*"|[^",\n]*)', 1) AS f FROM (SELECT regexp_replace(replace(value, concat(chr(13), chr(10)), chr(10)), '\r$', '') AS text FROM raw_urlhaus)
+  WHERE text <> '' AND left(text, 1) <> '#' AND regexp_full_match(text, '("([^"]|"")*"|[^",\n]*)(,("([^"]|"")*"|[^",\n]*))*')) WHERE len(f) >= 3""",
     "openphish": _feed("line", "openphish", "phishing", "line <> ''"),
     "threatfox": """SELECT item.ioc_value AS url, 'threatfox' AS source, e.id AS external_id, item.threat_type AS threat_type FROM (
 SELECT kv.key AS id, unnest(kv.value) AS item FROM (SELECT unnest(map_entries(from_json(value, '{}'))) AS kv FROM raw_threatfox)) e WHERE item.ioc_type IN ('url', 'domain')""",
@@ -433,6 +436,9 @@ concat('Listed in ', source, ' as ', threat_type) AS signal FROM url_corpus JOIN
         "infra_http": "SELECT sha256(url) AS url_hash, name, \"desc\", score FROM page_hits",
         "geo_lookup": """SELECT host, ip, CASE WHEN ip IS NOT NULL THEN coalesce(country, '') END AS country, CASE WHEN ip IS NOT NULL THEN coalesce(isp, '') END AS isp,
 CASE WHEN ip IS NOT NULL THEN coalesce(asn, 0) END AS asn FROM dns_obs LEFT JOIN (SELECT host, country, isp, asn FROM located) USING (host)""",
+        "geo_networks": """SELECT host, ip, '' AS country, coalesce(CASE WHEN asn >= 200 THEN 'LAN' WHEN asn >= 100 THEN concat('SITE ', n_name) ELSE n_name END, '') AS isp, coalesce(asn, 0) AS asn
+FROM (SELECT host, ip, CASE WHEN n % 5 IN (0, 1) THEN CASE WHEN n % 4 = 0 THEN 200 + n % 16 WHEN n % 2 = 0 THEN 100 + n % 16 ELSE 0 END
+  WHEN n % 5 = 2 AND n % 223 = 0 THEN 2 WHEN n % 5 = 4 AND n % 8192 >= 4096 THEN 1 END AS asn FROM dns_v6) d LEFT JOIN nation ON n_nationkey = asn % 100""",
         "observe_join": "SELECT url_id, host, online, ip, has_tls, created_raw, n_redirects::INT AS n_redirects FROM t_facts",
         "effective_age": "SELECT url_id, age FROM t_ages",
         "infra_score": "SELECT url_id, infra_raw, infra_score FROM t_infra",

@@ -67,7 +67,12 @@ def raw_view(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _feed(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return feeds.NORMALISERS[name](raw_view(spark, sf, name))
+        raw = raw_view(spark, sf, name)
+        if name in feeds.CSV_FEEDS:  # landed, so that its texts become lines
+            folder = shared_folder(spark, "feed")
+            raw.write.text(folder)
+            return feeds.read_feed(spark, name, folder)
+        return feeds.NORMALISERS[name](raw)
 
     return run
 
@@ -460,6 +465,13 @@ def geo_lookup(spark, sf):
                           corpus.view(spark, sf, "country_ranges"), ["host"])
 
 
+@query
+def geo_networks(spark, sf):
+    """IPv6 and IPv4 addresses in nested networks given by prefix."""
+    dns = corpus.view(spark, sf, "dns_v6").select("host", "ip")
+    return geo.geo_lookup(dns, corpus.view(spark, sf, "asn_networks"), None, ["host"])
+
+
 def targets(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.view(spark, sf, "check_targets")
 
@@ -580,7 +592,7 @@ def stream_ingest(spark, sf):
             raw = raw_view(spark, sf, name)
             part = F.pmod(F.xxhash64("value"), F.lit(3))
             raw.where(F.coalesce(part, F.lit(0)) == number).write.mode("append").text(folder)
-        arriving = feeds.union_feeds([feeds.read_feed(spark, name, folder, stream=True, wholetext=False)
+        arriving = feeds.union_feeds([feeds.read_raw(spark, name, folder, stream=True, wholetext=False)
                                       for name, folder in folders.items()])
         jobs.ingest(arriving, F.timestamp_seconds(as_of()), store, checkpoint, digits=1, compact_every=2)
     return jobs.threat_store(spark, store, digits=1).read().select("url", "url_hash", "source", "threat_type")

@@ -10,24 +10,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lurewatch.functions.url import trimmed
+from lurewatch.session import checkpointed
 
 THREAT_COLUMNS = ["url", "source", "external_id", "threat_type"]
 
 # --- Fixed values: threat types per feed, kept IOC types, shape of a CSV line ---------------------
 
 KEPT_IOC_TYPES = ["url", "domain"]
-CSV_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+CSV_TEXT = r'(?:[^"]++|"")*+'
+CSV_FIELD = rf'(?:"{CSV_TEXT}"|[^",\n]*+)'
 CSV_LINE = rf"^{CSV_FIELD}(?:,{CSV_FIELD})*+\z"
 
 # -----------------------------------------------------------------------------------------------
 
 
 # Where a row of a landed file stands: the file's time, its path, the block and the place in the block.
-LANDED = ["landed_at", "landed_path", "landed_block"]
+LANDED = ["landed_at", "landed_path", "landed_block", "landed_place"]
 
 
 # A JSON object with at most two levels of objects inside.
@@ -96,13 +98,14 @@ def phishtank(raw: DataFrame) -> DataFrame:
 
 
 def urlhaus(raw: DataFrame) -> DataFrame:
-    """CSV lines with ``#`` comments: id first, URL third. Lines of fewer than three fields and
-    malformed lines (a bare quote, say) are skipped."""
+    """CSV records with ``#`` comments: id first, URL third. Records of fewer than three fields and
+    malformed ones (a bare quote, say) are skipped. See ``csv_records`` for records of several lines."""
     line = _lines(raw)
     df = raw.select(line.alias("line"), *_carried(raw)).where(
         (F.col("line") != "") & ~F.col("line").startswith("#") & F.col("line").rlike(CSV_LINE))
+    # With a comma in front, every match has at least that.
     df = df.select(F.regexp_extract_all(
-        "line", F.lit(rf"(?:^|,)({CSV_FIELD})"), F.lit(1)).alias("fields"), *_carried(raw))
+        F.concat(F.lit(","), "line"), F.lit(rf",({CSV_FIELD})"), F.lit(1)).alias("fields"), *_carried(raw))
     df = df.where(F.size("fields") >= 3)
 
     def field(index: int) -> Column:
@@ -137,29 +140,94 @@ NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "phishing_army": phishing_army,
 }
 DOCUMENT_FEEDS = {"phishtank", "threatfox"}  # one JSON document per file
+CSV_FEEDS = {"urlhaus"}
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """Landed CSV lines as records: a quoted field may hold line breaks.
+
+    Whether a line starts inside a quoted field follows from all lines before it. A line turns the state
+    before it into the one behind it, and does so in one of four ways: it keeps it, changes it, or ends
+    inside or outside whatever was before. So the state before a line is that behind the last line of
+    the last two kinds, changed as often as lines in between change it. That is found within each block
+    of a file first, then over the blocks of the file, and only records of several lines are moved."""
+    line = F.regexp_replace("value", r"\r\z", "")
+    outside, inside = rf'^(?:{CSV_FIELD},)*+"{CSV_TEXT}\z', rf'^{CSV_TEXT}\z|^{CSV_TEXT}",(?:{CSV_FIELD},)*+"{CSV_TEXT}\z'
+    rows = _placed(lines).select(
+        line.alias("value"), *LANDED, (line.rlike(outside) & ~line.startswith("#")).alias("_opens"), line.rlike(inside).alias("_stays"))
+    rows = checkpointed(rows)
+
+    def with_state(frame: DataFrame, part: list[str], order: str) -> DataFrame:
+        """Add ``_ends`` and ``_turns``: what the rows before make of the state, whatever it was or not."""
+        before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        turns = F.coalesce(F.sum(F.col("_turn").cast("long")).over(before), F.lit(0))
+        frame = frame.withColumn("_all", turns)
+        last = F.last(F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_all")), ignorenulls=True).over(before)
+        return frame.withColumn("_last", last).withColumns({
+            "_ends": F.col("_last._fixed"), "_turns": F.col("_all") - F.coalesce("_last._all", F.lit(0))})
+
+    def state(ends: Column, turns: Column, start: Column) -> Column:
+        return F.coalesce(ends, start) != (turns % 2 == 1)
+
+    block = ["landed_path", "landed_block"]
+    rows = rows.withColumns({"_fixed": F.when(F.col("_opens") == F.col("_stays"), F.col("_opens")),
+                             "_turn": F.col("_opens") & ~F.col("_stays")})
+    rows = with_state(rows, block, "landed_place")
+    last = F.max_by(F.struct("_ends", "_turns", "_fixed", "_turn"), "landed_place")
+    blocks = rows.groupBy(*block).agg(last.alias("x")).select(
+        *block, F.coalesce("x._fixed", F.when(F.col("x._ends").isNotNull(), state(
+            F.col("x._ends"), F.col("x._turns") + F.col("x._turn").cast("long"), F.lit(False)))).alias("_fixed"),
+        (F.col("x._fixed").isNull() & F.col("x._ends").isNull() & ((F.col("x._turns") + F.col("x._turn").cast("long")) % 2 == 1)).alias("_turn"))
+    entered = with_state(blocks, ["landed_path"], "landed_block").select(
+        *block, state(F.col("_ends"), F.col("_turns"), F.lit(False)).alias("_entered"))
+    rows = checkpointed(rows.join(entered, block).select("value", *LANDED, "_opens", "_stays", state(
+        F.col("_ends"), F.col("_turns"), F.col("_entered")).alias("_inside")))
+
+    single = rows.where("NOT _inside AND NOT _opens").select("value", *LANDED)
+    several = rows.where("_inside OR _opens").withColumn("_at", F.struct("landed_block", "landed_place"))
+    # A record's first line is the last one before that starts outside.
+    upto = Window.partitionBy(*block).orderBy("landed_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    several = several.withColumn("_first", F.last(F.when(~F.col("_inside"), F.col("_at")), ignorenulls=True).over(upto))
+    begun = several.groupBy(*block).agg(F.max("_first").alias("_first"))
+    carried = begun.withColumn("_before", F.last("_first", ignorenulls=True).over(
+        Window.partitionBy("landed_path").orderBy("landed_block").rowsBetween(Window.unboundedPreceding, -1)))
+    several = several.join(carried.select(*block, "_before"), block).withColumn("_first", F.coalesce("_first", "_before"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n")
+    joined = several.groupBy("landed_path", "_first").agg(text.alias("value"), F.min("landed_at").alias("landed_at"))
+    return single.unionByName(joined.select("value", "landed_at", "landed_path", F.col("_first.landed_block"), F.col("_first.landed_place")))
 
 
 def read_raw(spark: SparkSession, feed: str, path: str, stream: bool = False, **options) -> DataFrame:
     """Landed files of one feed as ``value``, with where they stand: lines, or whole documents for the
-    JSON feeds (``wholetext=False``: a document per line)."""
+    JSON feeds (``wholetext=False``: a document per line). ``feed`` names the feed."""
     reader = spark.readStream if stream else spark.read
     options = {"wholetext": feed in DOCUMENT_FEEDS, "lineSep": "\n"} | options
     landed = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
     return reader.format("text").options(**options).load(path).select(
-        "value", *[F.col(source).alias(name) for source, name in zip(landed, LANDED)])
+        "value", *[F.col(source).alias(name) for source, name in zip(landed, LANDED)], F.lit(feed).alias("feed"))
 
 
-def read_feed(spark: SparkSession, feed: str, path: str, stream: bool = False, **options) -> DataFrame:
-    """A feed's rows, with the columns ``LANDED`` that their order of arrival is made of."""
-    return NORMALISERS[feed](read_raw(spark, feed, path, stream, **options))
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add the place in the block. Must come before anything that moves rows: those of one block of a file
+    are then still in one partition in their order, which the growing row id keeps."""
+    return rows if "landed_place" in rows.columns else rows.withColumn("landed_place", F.monotonically_increasing_id())
 
 
-def in_order(rows: DataFrame) -> DataFrame:
-    """Rows of landed files with ``seq``, which sorts them by file time, path and place in the file.
+def normalised(raw: DataFrame) -> DataFrame:
+    """Rows of ``read_raw``, of one feed or several, as threats with ``seq``, which sorts them by file time,
+    path and place in the file. Not for a stream itself but for its batches."""
+    raw = checkpointed(_placed(raw))
+    threats = []
+    for feed, normalise in NORMALISERS.items():
+        own = raw.where(F.col("feed") == feed).drop("feed")
+        threats.append(normalise(csv_records(own) if feed in CSV_FEEDS else own))
+    return union_feeds(threats).withColumn("seq", F.struct(*LANDED)).drop(*LANDED)
 
-    Must come before anything that moves rows: rows of one block of a file are then still in one
-    partition in their order, which the growing row id keeps."""
-    return rows.withColumn("seq", F.struct(*LANDED, F.monotonically_increasing_id().alias("place"))).drop(*LANDED)
+
+def read_feed(spark: SparkSession, feed: str, path: str, **options) -> DataFrame:
+    """Landed files of one feed as threats."""
+    raw = read_raw(spark, feed, path, **options).drop("feed")
+    return NORMALISERS[feed](csv_records(raw) if feed in CSV_FEEDS else raw).drop(*LANDED)
 
 
 def union_feeds(frames: list[DataFrame]) -> DataFrame:

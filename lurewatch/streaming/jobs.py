@@ -57,15 +57,15 @@ def threat_store(spark: SparkSession, path: str, digits: int = 2) -> KeyedTable:
 
 def ingest(arriving: DataFrame, as_of: Column, table: str | None = None, checkpoint: str | None = None,
            digits: int = 2, compact_every: int = 50) -> KeyedTable:
-    """Feed rows into the threat table; the first row per (url_hash, source) ever seen stays, first by
-    ``seq`` or by where it stood in the landed files. Of the stored table a batch reads only folders that
+    """Feed rows into the threat table, from ``feeds.read_raw`` or as threats with ``seq``; the first row
+    per (url_hash, source) ever seen stays, first by where it stood in the landed files or by ``seq``. Of the stored table a batch reads only folders that
     may hold its URLs. Every ``compact_every`` batches those before the running one become one."""
     spark = arriving.sparkSession
     store = threat_store(spark, table or shared_folder(spark, "threats"), digits)
 
     def each(batch: DataFrame, number: int) -> None:
-        if set(feeds.LANDED) <= set(batch.columns):
-            batch = feeds.in_order(batch)
+        if "feed" in batch.columns:
+            batch = feeds.normalised(batch)
         elif "seq" not in batch.columns:  # rows of one batch without an order of their own
             batch = batch.withColumn("seq", F.struct("external_id", "threat_type"))
         rows = checkpointed(threats.first_per_key(threats.with_hash(batch)))

@@ -1,4 +1,6 @@
 import datetime
+import ipaddress
+import random
 
 from pyspark.sql import functions as F
 
@@ -25,10 +27,10 @@ def test_ranges_by_prefixes_against_scanning(spark):
               (2**32 - 1, 2**32 - 1, "last")] + [(10**6 + 16 * i, 10**6 + 16 * i + 9, f"r{i}") for i in range(300)]
     numbers = [0, 3, 4, 5, 17, 18, 2**31 - 4, 2**31 - 3, 2**31 + 9, 2**31 + 10, 2**32 - 2, 2**32 - 1,
                *range(10**6, 10**6 + 200, 7)]
-    asked = spark.createDataFrame([(str(n), n) for n in numbers], "ip string, number long")
+    asked = spark.createDataFrame([(str(ipaddress.IPv4Address(n)),) for n in numbers], "ip string")
     held = spark.createDataFrame(ranges, "start_ip long, end_ip long, name string")
     got = {r["ip"]: r["name"] for r in geo.range_lookup(asked, held, ["name"]).collect()}
-    assert got == {str(n): min((e - s, s, v) for s, e, v in ranges if s <= n <= e)[2] for n in numbers}
+    assert got == {str(ipaddress.IPv4Address(n)): min((e - s, s, v) for s, e, v in ranges if s <= n <= e)[2] for n in numbers}
     wide = spark.createDataFrame([(0, 99, 4200000000, "big")], "start_ip long, end_ip long, asn long, org string")
     row = geo.geo_lookup(spark.createDataFrame([("0.0.0.7",)], "ip string"), wide, None, ["ip"]).first()
     assert row["asn"] == 4200000000
@@ -117,3 +119,38 @@ def test_broken_documents_give_their_whole_elements_or_an_error(spark):
         assert "threatfox" in str(error)
         return
     raise AssertionError("a broken document must not pass in silence")
+
+
+def test_addresses_of_both_kinds_in_nested_networks(spark):
+    """Against the standard library, with networks of all lengths."""
+    rng = random.Random(8)
+    texts = ["::", "::1", "1::", "2001:DB8::1", "2001:db8:0:0:0:0:0:1", "::ffff:1.2.3.4", "::FFFF:102:304", "64:ff9b::1.2.3.4", "1.2.3.4",
+             "::1.2.3.4", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "12345::", "g::", "",
+             "1.2.3", "1.2.3.400", "::1.2.3.400", "fe80::1%eth0", " ::1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", None]
+    texts += [str(ipaddress.ip_address(rng.getrandbits(128) >> rng.choice([0, 0, 64, 96]))) for _ in range(60)]
+    networks = [str(ipaddress.ip_network((rng.choice([int(ipaddress.ip_address(t)) for t in texts[27:]]), n), strict=False)) for n in range(129)]
+    networks += ["0.0.0.0/0", "1.0.0.0/8", "1.2.3.4/32", "::ffff:0:0/33", "x/3", "1.2.3.0/33", "::/129", "::/x", "2001:db8::5/32"]
+
+    def number(text):
+        try:
+            found = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        if "%" in text:
+            return None
+        return int(getattr(found, "ipv4_mapped", None) or found)
+
+    held = []
+    for name in networks:
+        base, _, bits = name.partition("/")
+        if number(base) is not None and bits.isdigit() and int(bits) <= (128 if ":" in base else 32):
+            held.append((int(bits) + (0 if ":" in base else 96), number(base), name))
+    wanted = {}
+    for text in texts:
+        at = number(text) if text else None
+        inside = [(-bits, name) for bits, base, name in held if at is not None and at >> (128 - bits) == base >> (128 - bits)]
+        if inside:
+            wanted[text] = min(inside)[1]
+    asked = spark.createDataFrame([(t,) for t in texts], "ip string").distinct()
+    table = spark.createDataFrame([(n, n) for n in networks], "network string, name string")
+    assert {r["ip"]: r["name"] for r in geo.range_lookup(asked, table, ["name"]).collect()} == wanted

@@ -86,7 +86,7 @@ def test_first_landed_row_stays_whatever_the_partitions(spark, tmp_path):
         os.utime(folder / name, (when, when))
 
     def run():
-        stream = feeds.read_feed(spark, "urlhaus", str(folder), stream=True)
+        stream = feeds.read_raw(spark, "urlhaus", str(folder), stream=True)
         return jobs.ingest(stream, as_of(), store, checkpoint, digits=1, compact_every=1)
 
     filler = [(f"f{i}", f"http://f/{i}") for i in range(300)]
@@ -117,11 +117,74 @@ def test_other_order_of_landing_keeps_the_other_row(spark, tmp_path):
         for n, name in enumerate((first, second)):
             (folder / f"{name}.csv").write_text(f"{name},d,http://same\n")
             os.utime(folder / f"{name}.csv", (1000 + n, 1000 + n))
-        stream = feeds.read_feed(spark, "urlhaus", str(folder), stream=True)
+        stream = feeds.read_raw(spark, "urlhaus", str(folder), stream=True)
         table = jobs.ingest(stream, as_of(), digits=1)
         assert [r["external_id"] for r in table.read().collect()] == [first]
 
 
+def test_records_of_several_lines_over_blocks(spark, tmp_path):
+    """Against a reader that takes one character after the other."""
+
+    def plain(text):
+        found, lines, record = [], [line.removesuffix("\r") for line in text.split("\n")], None
+        for line in lines:
+            if record is None:
+                if line == "" or line.startswith("#"):
+                    continue
+                record, field, quoted = [], "", False
+                at = 0
+            else:
+                field, at = field + "\n", 0
+            while True:
+                if quoted:
+                    end = line.find('"', at)
+                    if end < 0:
+                        field += line[at:]
+                        break
+                    field += line[at:end]
+                    at = end + 1
+                    if line[at:at + 1] == '"':
+                        field, at = field + '"', at + 1
+                        continue
+                    quoted = False
+                    if at == len(line):
+                        found.append([*record, field])
+                        record = None
+                        break
+                    if line[at] != ",":
+                        record = None
+                        break
+                    record.append(field)
+                    field, at = "", at + 1
+                elif line[at:at + 1] == '"':
+                    quoted, at = True, at + 1
+                else:
+                    end = line.find(",", at)
+                    part = line[at:] if end < 0 else line[at:end]
+                    if '"' in part:
+                        record = None
+                        break
+                    if end < 0:
+                        found.append([*record, part])
+                        record = None
+                        break
+                    record.append(part)
+                    at = end + 1
+        return sorted((r[2], r[0]) for r in found if len(r) >= 3)
+
+    rng = random.Random(6)
+    bits = ['"', '"', '""', ",", ",", ",", "\n", "\n", "a", "b,c", "#", "\r\n", '"x","y","z"\n', '"q\nr",s,"t\n"\n']
+    for number in range(3):
+        text = "".join(rng.choice(bits) for _ in range(4000))
+        (tmp_path / f"{number}.csv").write_bytes(text.encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        try:
+            found = feeds.read_feed(spark, "urlhaus", str(tmp_path / f"{number}.csv"))
+            assert sorted((r["url"], r["external_id"]) for r in found.collect()) == plain(text)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 # -- windows by event time ------------------------------------------------------------------------------
 
 
