@@ -413,6 +413,8 @@ AND {ROOT} IN (SELECT domain FROM whitelist)), false) AS whitelisted FROM hosts"
         "page_title": "SELECT page_id, title FROM pages_seen",
         "page_forms": "SELECT page_id, password_field, card_field FROM pages_seen",
         "lexical_rules": "SELECT url_id, ord, name, \"desc\", score FROM hits",
+        "joined_rules": "SELECT url_id, ord, name, \"desc\", score FROM hits WHERE ord BETWEEN 3 AND 7",
+        "joined_hosting": infra_hit.format("IN (3, 4)"),
         "lexical_rules_sorted": "SELECT url_id, row_number() OVER (PARTITION BY url_id ORDER BY score DESC, ord, \"desc\")::INT AS pos, name, \"desc\", score FROM hits",
         "severity_sums": "SELECT url_id, critical, high, medium, low FROM sums",
         "severity_counts": "SELECT url_id, " + ", ".join(

@@ -12,7 +12,7 @@ from lurewatch.functions import score as S
 from lurewatch.functions import url as U
 from lurewatch.functions.barrier import settled
 from lurewatch.functions.dates import with_registration_age
-from lurewatch.operators import anchored, geo, infra, lexical, threats
+from lurewatch.operators import anchored, geo, infra, joined, lexical, threats
 from lurewatch.operators.whitelist import with_whitelisted
 from lurewatch.plans import check as C
 from lurewatch.plans import corpus
@@ -396,6 +396,13 @@ def blacklist_exists(spark, sf):
     return threats.listed(urls(spark, sf), stored_threats(spark, sf)).select("url_id")
 
 
+@query
+def joined_rules(spark, sf):
+    """The brand and keyword rules with their lists as tables."""
+    found = joined.with_rules(parts(spark, sf), config.seed_tables(spark), CONFIG, ["url_id"], names=joined.RULES)
+    return lexical.exploded(found, ["url_id"])
+
+
 # -- infrastructure ----------------------------------------------------------------------------------------
 
 
@@ -440,6 +447,15 @@ def infra_hosting(spark, sf):
     return _infra_hits(spark, sf, ["Bulletproof Hosting", "Cloud Hosting"])
 
 
+@query
+def joined_hosting(spark, sf):
+    """The hosting rules with the patterns as a table."""
+    known = facts(spark, sf).select("host", "isp").where("isp IS NOT NULL")
+    first = joined.first_hosting(known, config.seed_tables(spark)["hosting"])
+    found = known.join(first, "isp").select("host", infra.hosting_rule(F.col("match"), F.col("isp")).alias("r"))
+    return found.select("host", "r.name", "r.desc", "r.score")
+
+
 @query
 def infra_tls(spark, sf):
     return _infra_hits(spark, sf, [
