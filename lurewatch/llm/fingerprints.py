@@ -216,5 +216,6 @@ def fingerprinted(docs: DataFrame, minima: int = MINIMA, block_rows: int = BLOCK
     follower_of = {row["first"]: found[i - 1]["block"] for i, row in enumerate(found)}
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _in_blocks(bounds, follower_of), "block long, role int, doc_id long, text string")
-    return placed.repartition(blocks, "block").sortWithinPartitions(
+    # A task for each block: by a hash of the number several blocks would share one.
+    return placed.repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions(
         "block", "role", "doc_id", "text").mapInArrow(_fingerprints(minima), RESULT)

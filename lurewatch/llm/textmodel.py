@@ -240,7 +240,7 @@ def labelled(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column], most
     """Features and label arrays of a bounded sample of labelled documents.
 
     Rows without id or without one of the labels are passed over; of repeated ids the smallest
-    labels and the smallest text count. The sample is the ``most`` smallest hashes of ids."""
+    labels count, and the text whose feature numbers sort first. The sample is the ``most`` smallest hashes of ids."""
     small_batches(docs.sparkSession)
     marks = labels.select("doc_id", *[c.alias(n) for n, c in wanted.items()]).dropna()
     marks = marks.groupBy("doc_id").agg(*[F.min(n).alias(n) for n in wanted])
