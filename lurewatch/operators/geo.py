@@ -20,53 +20,52 @@ BITS, ALL_BITS = 32, 128
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
-def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a number; NULL for anything else."""
-    octets = F.transform(F.split(ip, "[.]"), lambda part: part.cast("bigint"))
-    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda total, part: total * 256 + part)
-    return F.when(ip.rlike(rf"^({OCTET}\.){{3}}{OCTET}\z"), number)
+# Expressions are built as SQL texts: one parsed text is a single call, a tree of columns some hundred.
 
 
-def ip_digits(ip: Column) -> Column:
-    """An address as 32 hexadecimal digits, IPv4 with 24 zeros in front; NULL for anything else."""
-    low = F.lower(ip)
-    tail = F.regexp_extract(low, rf"(?<=:)((?:{OCTET}\.){{3}}{OCTET})\z", 1)
-    tail_digits = F.lpad(F.lower(F.hex(ip_number(tail))), 8, "0")
-    head = F.substring(low, F.lit(1), F.length(low) - F.length(tail))
-    text = F.when(tail == "", low).otherwise(
-        F.concat(head, F.substring(tail_digits, 1, 4), F.lit(":"), F.substring(tail_digits, 5, 4)))
-    halves = F.split(text, "::")
+def ip_number(ip: str) -> str:
+    """SQL for a dotted IPv4 address as a number; NULL for anything else."""
+    return (f"CASE WHEN {ip} RLIKE r'^({OCTET}\\.){{3}}{OCTET}\\z' THEN aggregate("
+            f"transform(split({ip}, '[.]'), part -> CAST(part AS BIGINT)), 0L, (total, part) -> total * 256 + part) END")
 
-    def groups(half: Column) -> Column:
-        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
 
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    given, every = F.size(left) + F.size(right), F.concat(left, right)
-    whole = ((F.size(halves) == 1) & (given == 8)) | ((F.size(halves) == 2) & (given <= 7))
-    whole = whole & F.forall(every, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+def ip_digits(ip: str) -> str:
+    """SQL for an address as 32 hexadecimal digits, IPv4 with 24 zeros in front; NULL for anything else.
 
-    def padded(parts: Column) -> Column:
-        return F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+    An IPv4 tail is written as two groups first; the groups on both sides of ``::`` are padded, and
+    zeros fill what is missing between them."""
+    tail = f"regexp_extract({ip}, r'(?<=:)((?:{OCTET}\\.){{3}}{OCTET})\\z', 1)"
+    tail_digits = f"lpad(lower(hex({ip_number(tail)})), 8, '0')"
+    text = (f"CASE WHEN {tail} = '' THEN lower({ip}) ELSE concat(lower(substring({ip}, 1, length({ip}) - length({tail}))), "
+            f"substring({tail_digits}, 1, 4), ':', substring({tail_digits}, 5, 4)) END")
 
-    digits = F.concat(padded(left), F.repeat(F.lit("0000"), 8 - given), padded(right))
-    digits = F.when(digits.startswith("0" * 20 + "ffff"), F.concat(F.lit("0" * 24), F.substring(digits, 25, 8))).otherwise(digits)
-    return F.when(ip_number(ip).isNotNull(), F.lpad(F.lower(F.hex(ip_number(ip))), 32, "0")).otherwise(F.when(whole, digits))
+    def groups(side: int) -> str:
+        half = f"coalesce(get(x.halves, {side}), '')"
+        return f"CASE WHEN {half} = '' THEN CAST(array() AS array<string>) ELSE split({half}, ':') END"
 
+    def padded(part: str) -> str:
+        return f"array_join(transform({part}, g -> lpad(g, 4, '0')), '')"
 
-def _halves(digits: Column) -> tuple[Column, Column]:
-    """The two 64-bit halves as signed numbers."""
-    return tuple(F.conv(F.substring(digits, at, 16), 16, -10).cast("bigint") for at in (1, 17))
+    given = "(size(y.left) + size(y.right))"
+    whole = (f"((size(y.halves) = 1 AND {given} = 8) OR (size(y.halves) = 2 AND {given} <= 7)) "
+             r"AND forall(concat(y.left, y.right), g -> g RLIKE r'^[0-9a-f]{1,4}\z')")
+    # Each step's value is bound by a list of one element, so that it is computed once.
+    halves = f"transform(array({text}), t -> named_struct('halves', split(t, '::')))"
+    sides = f"transform({halves}, x -> named_struct('halves', x.halves, 'left', {groups(0)}, 'right', {groups(1)}))"
+    digits = f"transform({sides}, y -> CASE WHEN {whole} THEN concat({padded('y.left')}, repeat('0000', 8 - {given}), {padded('y.right')}) END)"
+    mapped = (f"get(transform({digits}, d -> CASE WHEN startswith(d, '{'0' * 20}ffff') "
+              f"THEN concat('{'0' * 24}', substring(d, 25, 8)) ELSE d END), 0)")
+    return f"coalesce(lpad(lower(hex({ip_number(ip)})), 32, '0'), {mapped})"
 
 
-def _masked(digits: Column, length: Column) -> tuple[Column, Column]:
-    """The first ``length`` bits, as key columns."""
-    high, low = _halves(digits)
-    zero = F.lit(0).cast("bigint")
+def _masked(digits: str, length: str) -> list[Column]:
+    """The first ``length`` bits of an address, as the key columns ``_high`` and ``_low``."""
 
-    def first(half: Column, bits: Column) -> Column:
-        return F.when(bits <= 0, zero).otherwise(F.call_function("shiftright", half, F.greatest(64 - bits, F.lit(0))))
+    def first(at: int, bits: str) -> str:
+        half = f"CAST(conv(substring({digits}, {at}, 16), 16, -10) AS BIGINT)"
+        return f"CASE WHEN {bits} <= 0 THEN 0L ELSE shiftright({half}, greatest(64 - ({bits}), 0)) END"
 
-    return first(high, F.least(length, F.lit(64))), first(low, length - 64)
+    return [F.expr(first(1, f"least({length}, 64)")).alias("_high"), F.expr(first(17, f"{length} - 64")).alias("_low")]
 
 
 def _prefixes(ranges: DataFrame) -> DataFrame:
@@ -75,56 +74,47 @@ def _prefixes(ranges: DataFrame) -> DataFrame:
     From the shortest blocks up, an odd first block and an odd end are split off and the rest is
     halved."""
     block = "array<struct<_size:int,_block:bigint>>"
-    start = F.struct(F.col("start_ip").alias("low"), (F.col("end_ip") + 1).alias("high"), F.array().cast(block).alias("found"))
+    first, last = "(s.low < s.high AND s.low % 2 = 1)", "(x.low < s.high AND s.high % 2 = 1)"
 
-    def halve(state, size):
-        open_ = state["low"] < state["high"]
-        first = open_ & (state["low"] % 2 == 1)
-        low = state["low"] + F.when(first, 1).otherwise(0)
-        last = (low < state["high"]) & (state["high"] % 2 == 1)
-        high = state["high"] - F.when(last, 1).otherwise(0)
+    def taken(use: str, at: str) -> str:
+        return f"CASE WHEN {use} THEN array(named_struct('_size', size, '_block', {at})) ELSE CAST(array() AS {block}) END"
 
-        def taken(use, at):
-            return F.when(use, F.array(F.struct(size.alias("_size"), at.alias("_block")))).otherwise(F.array().cast(block))
-
-        return F.struct(
-            F.when(open_, F.floor(low / 2)).otherwise(low).cast("bigint").alias("low"),
-            F.when(open_, F.floor(high / 2)).otherwise(high).cast("bigint").alias("high"),
-            F.concat(state["found"], taken(first, state["low"]), taken(last, high)).alias("found"))
-
-    sizes = F.sequence(F.lit(0), F.lit(BITS))
+    raised = f"named_struct('low', s.low + CAST({first} AS BIGINT))"
+    halved = f"""get(transform(array({raised}), x -> named_struct(
+        'low', CASE WHEN s.low < s.high THEN x.low DIV 2 ELSE x.low END,
+        'high', CASE WHEN s.low < s.high THEN (s.high - CAST({last} AS BIGINT)) DIV 2 ELSE s.high END,
+        'found', concat(s.found, {taken(first, 's.low')}, {taken(last, 's.high - 1')}))), 0)"""
+    start = f"named_struct('low', start_ip, 'high', end_ip + 1, 'found', CAST(array() AS {block}))"
     cut = ranges.withColumns({"start_ip": F.col("start_ip").cast("bigint"), "end_ip": F.col("end_ip").cast("bigint")})
-    return cut.select("*", F.inline(F.aggregate(sizes, start, halve, lambda s: s["found"])))
+    return cut.select("*", F.expr(f"inline(aggregate(sequence(0, {BITS}), {start}, (s, size) -> {halved}, s -> s.found))"))
 
 
 def _keyed(ranges: DataFrame, values: list[str]) -> DataFrame:
     """Prefixes of the ranges: length and bits, ``_rank`` (narrow ranges first, then low ones), values."""
     if "network" in ranges.columns:
-        address = F.split("network", "/")
-        given = F.get(address, F.lit(1)).try_cast("int")
-        most = F.when(F.get(address, F.lit(0)).contains(":"), ALL_BITS).otherwise(BITS)
-        length = F.when(given.between(0, most), given + ALL_BITS - most).alias("_length")
-        cut = ranges.select(*values, ip_digits(F.get(address, F.lit(0))).alias("_digits"), length).dropna(subset=["_digits", "_length"])
-        high, low = _masked(F.col("_digits"), F.col("_length"))
-        rank = F.struct((ALL_BITS - F.col("_length")).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("low"))
-        return cut.select(*values, "_length", high.alias("_high"), low.alias("_low"), rank.alias("_rank"))
-    blocks = _prefixes(ranges.select("start_ip", "end_ip", *values))
-    rank = F.struct((F.col("end_ip") - F.col("start_ip")).alias("width"), F.col("start_ip").alias("low"))
-    return blocks.select(*values, (ALL_BITS - F.col("_size")).alias("_length"), F.lit(0).cast("bigint").alias("_high"),
-                         F.col("_block").alias("_low"), rank.alias("_rank"))
+        base, given = "substring_index(network, '/', 1)", "try_cast(get(split(network, '/'), 1) AS INT)"
+        most = f"CASE WHEN contains({base}, ':') THEN {ALL_BITS} ELSE {BITS} END"
+        length = f"CASE WHEN {given} BETWEEN 0 AND {most} THEN {given} + {ALL_BITS} - {most} END"
+        cut = ranges.select(*values, F.expr(ip_digits(base)).alias("_digits"), F.expr(length).alias("_length")).dropna(
+            subset=["_digits", "_length"])
+        rank = F.expr(f"named_struct('width', CAST({ALL_BITS} - _length AS BIGINT), 'low', 0L)").alias("_rank")
+        return cut.select(*values, "_length", *_masked("_digits", "_length"), rank)
+    return _prefixes(ranges.select("start_ip", "end_ip", *values)).select(
+        *values, F.expr(f"{ALL_BITS} - _size AS _length"), F.expr("0L AS _high"), F.expr("_block AS _low"),
+        F.expr("named_struct('width', end_ip - start_ip, 'low', start_ip) AS _rank"))
 
 
 def range_lookup(addresses: DataFrame, ranges: DataFrame, values: list[str]) -> DataFrame:
     """For distinct ``ip`` rows, the values of the narrowest range holding the address. Addresses in no
     range are left out."""
     blocks = _keyed(ranges, values)
-    lengths = blocks.agg(F.collect_set("_length").alias("lengths")).scalar()  # 129 at most
-    asked = addresses.select("ip", ip_digits(F.col("ip")).alias("_digits")).where("_digits IS NOT NULL")
+    lengths = blocks.agg(F.expr("collect_set(_length) AS lengths")).scalar()  # 129 at most
+    asked = addresses.select("ip", F.expr(ip_digits("ip")).alias("_digits")).where("_digits IS NOT NULL")
     probes = asked.select("*", F.explode(lengths).alias("_length"))
-    high, low = _masked(F.col("_digits"), F.col("_length"))
-    hits = probes.select("ip", "_length", high.alias("_high"), low.alias("_low")).join(blocks, ["_length", "_high", "_low"])
-    best = F.min_by(F.struct(*values), F.struct("_rank", *values))
-    return hits.groupBy("ip").agg(best.alias("_best")).select("ip", "_best.*")
+    hits = probes.select("ip", "_length", *_masked("_digits", "_length")).join(blocks, ["_length", "_high", "_low"])
+    names = ", ".join(values)
+    best = F.expr(f"min_by(struct({names}), struct(_rank, {names}))").alias("_best")
+    return hits.groupBy("ip").agg(best).select("ip", "_best.*")
 
 
 def geo_lookup(

@@ -105,6 +105,10 @@ SCHEMAS = {
 }
 
 
+# Entries of all tables together that may become part of a plan.
+MOST_ENTRIES = 20_000
+
+
 @dataclass(frozen=True)
 class RuleConfig:
     """The six configuration tables as plain values, ready to be written into expressions."""
@@ -137,21 +141,23 @@ def merge_seed(existing: DataFrame, seed: DataFrame, key: str) -> DataFrame:
     return seed.join(existing.select(key), key, "left_anti").select(seed.columns)
 
 
-def load_config(tables: dict[str, DataFrame]) -> RuleConfig:
-    """Load all six tables. A missing table aborts the load as a whole; on a repeated key the
-    entry with the highest id counts."""
-
-    def scored(name: str, key: str) -> dict[str, int]:
-        latest = tables[name].groupBy(key).agg(F.max_by("score", "id").alias("score"))
-        return {row[key]: row["score"] for row in latest.collect()}
-
-    brands = sorted(tables["brands"].collect(), key=lambda r: r["id"])
-    hosting = sorted(tables["hosting"].collect(), key=lambda r: r["id"])
-    return RuleConfig(
-        brands=[r["name"] for r in brands],
-        keywords=scored("keywords", "word"),
-        tlds=scored("tlds", "tld"),
-        shorteners=scored("shorteners", "domain"),
-        geo_risks=scored("geo_risks", "country"),
-        hosting=[(r["pattern"], r["score"], r["type"]) for r in hosting],
-    )
+def load_config(tables: dict[str, DataFrame], most: int = MOST_ENTRIES) -> RuleConfig:
+    """Load all six tables in one job. A missing table aborts the load as a whole; on a repeated key the
+    entry with the highest id counts. The entries become part of every plan, so there may be ``most`` at
+    most; longer lists belong into ``operators.joined``, which joins them."""
+    keys = {"brands": "name", "keywords": "word", "tlds": "tld", "shorteners": "domain", "geo_risks": "country", "hosting": "pattern"}
+    listed = None
+    for name, key in keys.items():
+        table, every = tables[name], name in ("brands", "hosting")  # lists in the order of their ids
+        row = table.selectExpr(
+            f"'{name}' AS kind", "CAST(id AS BIGINT) AS id", f"{key} AS key", "CAST(id AS BIGINT) AS own" if every else "NULL AS own",
+            "CAST(NULL AS INT) AS score" if name == "brands" else "score", "type" if name == "hosting" else "CAST(NULL AS STRING) AS type")
+        listed = row if listed is None else listed.unionByName(row)
+    latest = listed.groupBy("kind", "key", "own").agg(F.expr("max_by(struct(id, score, type), id) AS x"))
+    rows = latest.selectExpr("kind", "key", "x.*").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} configuration entries: join them instead")
+    rows.sort(key=lambda r: r["id"])
+    of = {name: [r for r in rows if r["kind"] == name] for name in keys}
+    scored = {name: {r["key"]: r["score"] for r in of[name]} for name in ("keywords", "tlds", "shorteners", "geo_risks")}
+    return RuleConfig(brands=[r["key"] for r in of["brands"]], hosting=[(r["key"], r["score"], r["type"]) for r in of["hosting"]], **scored)

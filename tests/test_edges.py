@@ -2,6 +2,7 @@ import datetime
 import ipaddress
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.functions.dates import with_registration_age
@@ -154,3 +155,12 @@ def test_addresses_of_both_kinds_in_nested_networks(spark):
     asked = spark.createDataFrame([(t,) for t in texts], "ip string").distinct()
     table = spark.createDataFrame([(n, n) for n in networks], "network string, name string")
     assert {r["ip"]: r["name"] for r in geo.range_lookup(asked, table, ["name"]).collect()} == wanted
+
+
+def test_long_configuration_is_not_collected(spark):
+    tables = config.seed_tables(spark)
+    assert config.load_config(tables) == config.RuleConfig()
+    more = tables["keywords"].unionByName(spark.createDataFrame([(9999, "login", 1), (-1, "login", 2)], tables["keywords"].schema))
+    assert config.load_config(tables | {"keywords": more}).keywords["login"] == 1
+    with pytest.raises(ValueError):
+        config.load_config(tables, most=100)
