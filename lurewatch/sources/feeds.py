@@ -32,13 +32,6 @@ CSV_LINE = rf"^{CSV_FIELD}(?:,{CSV_FIELD})*+\z"
 LANDED = ["landed_at", "landed_path", "landed_block", "landed_place"]
 
 
-# A JSON object with at most two levels of objects inside.
-_TEXT = r'"(?:[^"\\]++|\\.)*+"'
-JSON_OBJECT = rf'\{{(?:[^{{}}"]++|{_TEXT})*+\}}'
-for _ in range(2):
-    JSON_OBJECT = rf'\{{(?:[^{{}}"]++|{_TEXT}|{JSON_OBJECT})*+\}}'
-
-
 def _lines(raw: DataFrame) -> Column:
     return F.regexp_replace("value", r"\r\z", "")
 
@@ -80,9 +73,8 @@ phishing_army = _line_feed("phishing_army", "phishing", comments=True, domains=T
 def phishtank(raw: DataFrame) -> DataFrame:
     """JSON arrays of ``{"phish_id": int, "url": string}``. An element of any other shape is skipped;
     an absent or null id reads as 0, an absent or null URL as the empty text. Of a document that is
-    broken or cut off, the objects that are whole are read."""
-    whole = F.transform(F.regexp_extract_all("value", F.lit(f"({JSON_OBJECT})"), F.lit(1)), F.try_parse_json)
-    items = raw.select(F.explode(F.coalesce(F.from_json("value", "array<variant>"), whole)).alias("item"), *_carried(raw))
+    broken or cut off, the elements before the break are read."""
+    items = json_elements(raw)
     kind = F.schema_of_variant("item")
     items = items.where(kind.startswith("OBJECT")).select(
         F.try_variant_get("item", "$.phish_id", "variant").alias("id"),
@@ -140,28 +132,44 @@ NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "phishing_army": phishing_army,
 }
 DOCUMENT_FEEDS = {"phishtank", "threatfox"}  # one JSON document per file
-CSV_FEEDS = {"urlhaus"}
+CSV_FEEDS, ARRAY_FEEDS = {"urlhaus"}, {"phishtank"}
 
 
-def csv_records(lines: DataFrame) -> DataFrame:
-    """Landed CSV lines as records: a quoted field may hold line breaks.
+# -- scans over the blocks of files -------------------------------------------------------------------
+#
+# What holds before a row often follows from all rows before it in the file. It is found within each
+# block of the file first, then over the blocks, of which a file has few; so no task sees a file whole.
 
-    Whether a line starts inside a quoted field follows from all lines before it. A line turns the state
-    before it into the one behind it, and does so in one of four ways: it keeps it, changes it, or ends
-    inside or outside whatever was before. So the state before a line is that behind the last line of
-    the last two kinds, changed as often as lines in between change it. That is found within each block
-    of a file first, then over the blocks of the file, and only records of several lines are moved."""
-    line = F.regexp_replace("value", r"\r\z", "")
-    outside, inside = rf'^(?:{CSV_FIELD},)*+"{CSV_TEXT}\z', rf'^{CSV_TEXT}\z|^{CSV_TEXT}",(?:{CSV_FIELD},)*+"{CSV_TEXT}\z'
-    rows = _placed(lines).select(
-        line.alias("value"), *LANDED, (line.rlike(outside) & ~line.startswith("#")).alias("_opens"), line.rlike(inside).alias("_stays"))
-    rows = checkpointed(rows)
+BLOCK = ["landed_path", "landed_block"]
+
+
+def _before(part: list[str], order: str):
+    return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_sum(rows: DataFrame, value: Column, into: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows before in the file."""
+    rows = rows.withColumn("_value", value.cast("long"))
+    inside = rows.withColumn("_inside_sum", F.coalesce(F.sum("_value").over(_before(BLOCK, "landed_place")), F.lit(0)))
+    blocks = rows.groupBy(*BLOCK).agg(F.sum("_value").alias("_value"))
+    offset = F.coalesce(F.sum("_value").over(_before(["landed_path"], "landed_block")), F.lit(0))
+    blocks = blocks.select(*BLOCK, offset.alias("_offset"))
+    return inside.join(blocks, BLOCK).withColumn(into, F.col("_inside_sum") + F.col("_offset")).drop(
+        "_value", "_inside_sum", "_offset")
+
+
+def _with_quoted(rows: DataFrame, opens: str, stays: str, into: str) -> DataFrame:
+    """Add whether a row starts inside a quotation, which each row may open or close: ``opens`` says
+    whether one is open behind the row if none was before it, ``stays`` if one was.
 
-    def with_state(frame: DataFrame, part: list[str], order: str) -> DataFrame:
+    So a row keeps the state, changes it, or ends inside or outside whatever was before. The state
+    before a row is that behind the last row of the last two kinds, changed as often as rows in between
+    change it."""
+
+    def scanned(frame: DataFrame, part: list[str], order: str) -> DataFrame:
         """Add ``_ends`` and ``_turns``: what the rows before make of the state, whatever it was or not."""
-        before = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        turns = F.coalesce(F.sum(F.col("_turn").cast("long")).over(before), F.lit(0))
-        frame = frame.withColumn("_all", turns)
+        before = _before(part, order)
+        frame = frame.withColumn("_all", F.coalesce(F.sum(F.col("_turn").cast("long")).over(before), F.lit(0)))
         last = F.last(F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_all")), ignorenulls=True).over(before)
         return frame.withColumn("_last", last).withColumns({
             "_ends": F.col("_last._fixed"), "_turns": F.col("_all") - F.coalesce("_last._all", F.lit(0))})
@@ -169,32 +177,110 @@ def csv_records(lines: DataFrame) -> DataFrame:
     def state(ends: Column, turns: Column, start: Column) -> Column:
         return F.coalesce(ends, start) != (turns % 2 == 1)
 
-    block = ["landed_path", "landed_block"]
-    rows = rows.withColumns({"_fixed": F.when(F.col("_opens") == F.col("_stays"), F.col("_opens")),
-                             "_turn": F.col("_opens") & ~F.col("_stays")})
-    rows = with_state(rows, block, "landed_place")
+    kept = rows.columns
+    rows = scanned(rows.withColumns({"_fixed": F.when(F.col(opens) == F.col(stays), F.col(opens)),
+                                     "_turn": F.col(opens) & ~F.col(stays)}), BLOCK, "landed_place")
     last = F.max_by(F.struct("_ends", "_turns", "_fixed", "_turn"), "landed_place")
-    blocks = rows.groupBy(*block).agg(last.alias("x")).select(
-        *block, F.coalesce("x._fixed", F.when(F.col("x._ends").isNotNull(), state(
-            F.col("x._ends"), F.col("x._turns") + F.col("x._turn").cast("long"), F.lit(False)))).alias("_fixed"),
-        (F.col("x._fixed").isNull() & F.col("x._ends").isNull() & ((F.col("x._turns") + F.col("x._turn").cast("long")) % 2 == 1)).alias("_turn"))
-    entered = with_state(blocks, ["landed_path"], "landed_block").select(
-        *block, state(F.col("_ends"), F.col("_turns"), F.lit(False)).alias("_entered"))
-    rows = checkpointed(rows.join(entered, block).select("value", *LANDED, "_opens", "_stays", state(
-        F.col("_ends"), F.col("_turns"), F.col("_entered")).alias("_inside")))
+    turns = F.col("x._turns") + F.col("x._turn").cast("long")
+    blocks = rows.groupBy(*BLOCK).agg(last.alias("x")).select(
+        *BLOCK, F.coalesce("x._fixed", F.when(F.col("x._ends").isNotNull(), state(F.col("x._ends"), turns, F.lit(False)))).alias("_fixed"),
+        (F.col("x._fixed").isNull() & F.col("x._ends").isNull() & (turns % 2 == 1)).alias("_turn"))
+    entered = scanned(blocks, ["landed_path"], "landed_block").select(
+        *BLOCK, state(F.col("_ends"), F.col("_turns"), F.lit(False)).alias("_entered"))
+    return rows.join(entered, BLOCK).select(*kept, state(F.col("_ends"), F.col("_turns"), F.col("_entered")).alias(into))
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """Landed CSV lines as records: a quoted field may hold line breaks. Only records of several lines are
+    moved."""
+    line = F.regexp_replace("value", r"\r\z", "")
+    outside, inside = rf'^(?:{CSV_FIELD},)*+"{CSV_TEXT}\z', rf'^{CSV_TEXT}\z|^{CSV_TEXT}",(?:{CSV_FIELD},)*+"{CSV_TEXT}\z'
+    rows = checkpointed(_placed(lines).select(
+        line.alias("value"), *LANDED, (line.rlike(outside) & ~line.startswith("#")).alias("_opens"), line.rlike(inside).alias("_stays")))
+    rows = checkpointed(_with_quoted(rows, "_opens", "_stays", "_inside"))
 
     single = rows.where("NOT _inside AND NOT _opens").select("value", *LANDED)
-    several = rows.where("_inside OR _opens").withColumn("_at", F.struct("landed_block", "landed_place"))
-    # A record's first line is the last one before that starts outside.
-    upto = Window.partitionBy(*block).orderBy("landed_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    several = several.withColumn("_first", F.last(F.when(~F.col("_inside"), F.col("_at")), ignorenulls=True).over(upto))
-    begun = several.groupBy(*block).agg(F.max("_first").alias("_first"))
-    carried = begun.withColumn("_before", F.last("_first", ignorenulls=True).over(
-        Window.partitionBy("landed_path").orderBy("landed_block").rowsBetween(Window.unboundedPreceding, -1)))
-    several = several.join(carried.select(*block, "_before"), block).withColumn("_first", F.coalesce("_first", "_before"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n")
-    joined = several.groupBy("landed_path", "_first").agg(text.alias("value"), F.min("landed_at").alias("landed_at"))
-    return single.unionByName(joined.select("value", "landed_at", "landed_path", F.col("_first.landed_block"), F.col("_first.landed_place")))
+    several = _with_sum(rows.where("_inside OR _opens"), ~F.col("_inside"), "_starts")
+    # The lines of a record share the number of starts up to them.
+    several = several.withColumn("_record", F.col("_starts") + (~F.col("_inside")).cast("long"))
+    at = F.struct("landed_block", "landed_place")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), "value"))), lambda x: x["value"]), "\n")
+    joined = several.groupBy("landed_path", "_record").agg(text.alias("value"), F.min("landed_at").alias("landed_at"), F.min(at).alias("_at"))
+    return single.unionByName(joined.select("value", "landed_at", "landed_path", "_at.landed_block", "_at.landed_place"))
+
+
+JSON_TEXT = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def json_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text of landed files up to each closing brace, as ``piece``; ``closes`` says whether the brace
+    is there, which only a file's last piece may lack. Large files are read in blocks."""
+    landed = ["_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"]
+    rows = _placed(spark.read.text(path, lineSep="}").select(
+        F.col("value").alias("piece"), *[F.col(source).alias(name) for source, name in zip(landed, LANDED)],
+        F.col("_metadata.file_size").alias("_size")))
+    rows = checkpointed(rows)
+    at = F.struct("landed_block", "landed_place")
+    ends = rows.groupBy("landed_path").agg(
+        F.max(at).alias("_last"), F.max("_size").alias("_size"), F.sum(F.octet_length("piece") + 1).alias("_read"))
+    # A compressed file's size says nothing; its last brace is taken to be there.
+    ends = ends.select("landed_path", "_last", (F.col("_read") != F.col("_size") + 1).alias("_closed"))
+    closes = (at != F.col("_last")) | F.col("_closed")
+    return rows.join(ends, "landed_path").select("piece", closes.alias("closes"), *LANDED)
+
+
+def json_elements(raw: DataFrame) -> DataFrame:
+    """The elements of JSON arrays as variants ``item``, up to the first break of each document.
+
+    ``raw`` holds documents in ``value``, or ``json_pieces``. Depth and quotation before a piece follow
+    from the pieces before; an object of the array ends where a brace brings the depth back to one. What
+    lies between two such ends is an array of its own once brackets are put around it."""
+    if "piece" not in raw.columns:
+        texts = checkpointed(raw.withColumn("_document", F.monotonically_increasing_id()))
+        pieces = texts.select("_document", F.posexplode(F.split("value", r"\}")).alias("landed_place", "piece"), F.size(
+            F.split("value", r"\}")).alias("_n"))
+        pieces = pieces.select("piece", (F.col("landed_place") + 1 < F.col("_n")).alias("closes"), F.lit(0).alias("landed_block"),
+                               "landed_place", F.col("_document").alias("landed_path"))
+        carried = texts.select(F.col("_document").alias("landed_path"), *[F.col(c).alias(f"_{c}") for c in _carried(raw)])
+    else:
+        pieces, carried = raw, None
+
+    def unquoted(text: Column) -> tuple[Column, Column]:
+        """What is outside of strings, and whether one is open at the end."""
+        rest = F.regexp_replace(text, JSON_TEXT, "")
+        return F.regexp_replace(rest, r'"[\s\S]*\z', ""), rest.contains('"')
+
+    quoted = F.regexp_extract(F.col("piece"), r'^(?:[^"\\]++|\\[\s\S])*+"([\s\S]*)\z', 1)
+    closed = F.col("piece").rlike(r'^(?:[^"\\]++|\\[\s\S])*+"')
+    plain, opens = unquoted(F.col("piece"))
+    behind, again = unquoted(quoted)
+    rows = pieces.withColumns({"_plain": plain, "_opens": opens, "_behind": F.when(closed, behind).otherwise(""),
+                               "_stays": F.when(closed, again).otherwise(True)})
+    rows = _with_quoted(checkpointed(rows), "_opens", "_stays", "_inside")
+    outside = F.when(F.col("_inside"), F.col("_behind")).otherwise(F.col("_plain"))
+    ends = F.col("closes") & ~F.when(F.col("_inside"), F.col("_stays")).otherwise(F.col("_opens"))
+    deeper = F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", ""))
+    rows = checkpointed(rows.withColumns({"_ends": ends, "_deeper": deeper - ends.cast("int")}).drop("_plain", "_behind", "_opens", "_stays"))
+    rows = _with_sum(rows, F.col("_deeper"), "_depth")
+    whole = F.col("_ends") & (F.col("_depth") + F.col("_deeper") == 1)
+    rows = _with_sum(checkpointed(rows.withColumn("_whole", whole)), F.col("_whole").cast("int"), "_element")
+
+    at = F.struct("landed_block", "landed_place")
+    part = F.concat("piece", F.when(F.col("closes"), "}").otherwise(""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), part.alias("part")))), lambda x: x["part"]), "")
+    times = [F.min("landed_at").alias("landed_at")] if "landed_at" in rows.columns else []
+    groups = rows.groupBy("landed_path", "_element").agg(text.alias("text"), F.max("_whole").alias("_whole"), F.min(at).alias("_at"), *times)
+    own = F.when(F.col("_element") == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^\s*,", "["))
+    parsed = F.from_json(F.concat(own, F.lit("]")), "array<variant>")
+    groups = checkpointed(groups.where("_whole").withColumn("items", parsed))
+    broken = groups.where("items IS NULL").groupBy("landed_path").agg(F.min("_element").alias("_break"))
+    read = groups.join(broken, "landed_path", "left").where("_break IS NULL OR _element < _break")
+    if carried is None:
+        return read.select(F.explode("items").alias("item"), "landed_at", "landed_path", "_at.landed_block", "_at.landed_place")
+    if not _carried(raw):
+        return read.select(F.explode("items").alias("item"))
+    return read.select("landed_path", F.explode("items").alias("item")).join(carried, "landed_path").select(
+        "item", *[F.col(f"_{c}").alias(c) for c in _carried(raw)])
 
 
 def read_raw(spark: SparkSession, feed: str, path: str, stream: bool = False, **options) -> DataFrame:
@@ -225,7 +311,9 @@ def normalised(raw: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, feed: str, path: str, **options) -> DataFrame:
-    """Landed files of one feed as threats."""
+    """Landed files of one feed as threats. Arrays of any size are read in blocks."""
+    if feed in ARRAY_FEEDS and not options:
+        return NORMALISERS[feed](json_pieces(spark, path)).drop(*LANDED)
     raw = read_raw(spark, feed, path, **options).drop("feed")
     return NORMALISERS[feed](csv_records(raw) if feed in CSV_FEEDS else raw).drop(*LANDED)
 

@@ -1,4 +1,5 @@
 import datetime
+import json
 import os
 import random
 
@@ -185,6 +186,35 @@ def test_records_of_several_lines_over_blocks(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_large_arrays_in_blocks(spark, tmp_path):
+    """Nested objects, braces and quotes in texts; elements before a break only."""
+    rng = random.Random(7)
+
+    def element(i):
+        inside = {"phish_id": i, "url": rng.choice(["http://x/", 'a"b}', "{[", "\\\\", "é}\n", ""]) + str(i)}
+        inside |= rng.choice([{}, {"details": [{"ip": "1", "deep": {"deeper": [{"url": "no"}]}}]}, {"note": '}],[{"phish_id": 1}'}])
+        return rng.choice([inside, inside, inside, 5, "text{", [{"phish_id": 3, "url": "in a list"}], None, {"phish_id": "x", "url": "text id"}])
+
+    items = [element(i) for i in range(400)]
+    wanted = [(x["url"], str(x["phish_id"])) for x in items if isinstance(x, dict) and isinstance(x["phish_id"], int)]
+    for name, text, count in (
+            ("whole", json.dumps(items, indent=1), None), ("compact", json.dumps(items, ensure_ascii=False, separators=(",", ":")), None),
+            ("broken", json.dumps(items[:200]) [:-1] + ', {"phish_id": 7, "url": oops}, ' + json.dumps(items[200:])[1:], 200),
+            ("cut", json.dumps(items[:100])[:-1] + ', {"phish_id": 1, "url": "half"', 100), ("object", '{"phish_id": 1, "url": "u"}', 0), ("empty", "[]", 0)):
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        try:
+            found = feeds.read_feed(spark, "phishtank", str(tmp_path / f"{name}.json"))
+            rows = sorted((r["url"], r["external_id"]) for r in found.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        read = items if count is None else items[:count]
+        assert rows == sorted((x["url"], str(x["phish_id"])) for x in read if isinstance(x, dict) and isinstance(x["phish_id"], int)), name
+        one = feeds.phishtank(spark.createDataFrame([(text,)], "value string"))
+        assert sorted((r["url"], r["external_id"]) for r in one.collect()) == rows, name
+    assert wanted
+
+
 # -- windows by event time ------------------------------------------------------------------------------
 
 
