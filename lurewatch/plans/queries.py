@@ -271,35 +271,19 @@ def page_forms(spark, sf):
 
 # -- lexical rules ---------------------------------------------------------------------------------------
 
-RULE_KEYS = {
-    "rule_insecure_protocol": "Insecure Protocol",
-    "rule_unicode_spoof": "Unicode Spoof",
-    "rule_keyword_domain": "Suspicious Keyword in Domain",
-    "rule_keyword_path": "Suspicious Keyword in Path",
-    "rule_typosquatting": "Typosquatting",
-    "rule_brand_injection": "Brand Injection",
-    "rule_fake_parent": "Fake Parent Domain",
-    "rule_punycode": "Punycode",
-    "rule_high_entropy_domain": "High Entropy Domain",
-    "rule_high_entropy_token": "High Entropy Token",
-    "rule_long_domain": "Long Domain",
-    "rule_oversized_token": "Oversized Token",
-    "rule_excessive_hyphens": "Excessive Hyphens",
-    "rule_deep_subdomain": "Deep Subdomain",
-    "rule_ip_hostname": "IP Hostname",
-    "rule_suspicious_tld": "Suspicious TLD",
-    "rule_userinfo_abuse": "Userinfo Abuse",
-    "rule_suspicious_port": "Suspicious Port",
-    "rule_encoded_payload": "Encoded Payload",
-    "rule_hex_payload": "Hex Payload",
-    "rule_open_redirect": "Open Redirect",
-    "rule_sensitive_query": "Sensitive Query Parameter",
-    "rule_obfuscated_url": "Obfuscated URL",
-    "rule_shortener": "URL Shortener",
-    "rule_ipfs_hosting": "IPFS Hosting",
-    "rule_cloud_worker": "Cloud Worker",
-    "rule_newly_registered": "Newly Registered Domain",
-}
+# Query names that are shorter than the rule's.
+SHORT = {"suspicious_keyword_in": "keyword", "fake_parent_domain": "fake_parent", "query_parameter": "query",
+         "url_shortener": "shortener", "registered_domain": "registered"}
+
+
+def _rule_key(name: str) -> str:
+    key = name.lower().replace(" ", "_")
+    for long, short in SHORT.items():
+        key = key.replace(long, short)
+    return f"rule_{key}"
+
+
+RULE_KEYS = {_rule_key(name): name for name in lexical.RULES}
 
 
 def _rule(name: str) -> Query:
