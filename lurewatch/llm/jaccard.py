@@ -327,7 +327,8 @@ def _classes(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     one_each = members.where("node = text_node").select("node", "copies").distinct()
     placed = one_each.join(groups.select(F.col("a").alias("node"), F.col("b").alias("group")), "node", "left")
     placed = stored(placed.withColumn("group", F.coalesce("group", "node")), "groups")
-    sizes = placed.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    # Stored for the same reason as the copies above: a large group's rows can then be split.
+    sizes = stored(placed.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     routed = placed.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     routed = routed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
