@@ -42,8 +42,8 @@ def with_registration_age(
     df: DataFrame, created: str, as_of_seconds: Column, into: str = "domain_age_days",
 ) -> DataFrame:
     """Add the days since a registration date in any known notation; 0 when it is missing or cannot be
-    read. A text with ``(`` is read by its first ten characters, as year, month and day. Without a zone the date is taken as
-    UTC; fractions of a second are dropped."""
+    read. A text with ``(`` is read by its first ten characters, as year, month and day. Without a zone the
+    date is taken as UTC."""
     kept = [name for name in df.columns if name != into]
     text = trimmed(F.col(created))
     df = df.withColumn(
@@ -61,5 +61,6 @@ def with_registration_age(
     df = df.withColumn(
         "_iso", F.when(F.col("_iso").rlike("^.{5}[A-Za-z]"), numeric).otherwise(F.col("_iso")))
     moment = F.unix_seconds(F.try_to_timestamp("_iso", F.lit("yyyy-MM-dd H:mm:ssXXX")))
-    age = F.coalesce(whole_days(as_of_seconds - moment), F.lit(0))
+    fraction = F.concat(F.lit("0."), F.regexp_extract("_text", r"\d:\d{2}[.,](\d{1,15})", 1)).cast("double")
+    age = F.coalesce(whole_days(as_of_seconds - moment - fraction), F.lit(0))
     return settled(df.select(*kept, age.alias(into)), into)

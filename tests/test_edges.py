@@ -23,6 +23,14 @@ def test_bracketed_dates_are_read_in_one_notation(spark):
     assert ages == [7273, 0, 0, 7273, 0]
 
 
+def test_fractions_of_a_second_count(spark):
+    texts = ["2025-11-30T00:00:00Z", "2025-11-30T00:00:00.000Z", "2025-11-30T00:00:00.001Z", "2025-11-29 23:59:59,9",
+             "2025-12-01T00:00:00.5Z", "2025-12-02T00:00:00.5+00:00", "2025-11-30 0:00:00.25 +0000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, created string")
+    ages = [r[0] for r in with_registration_age(df, "created", F.lit(AS_OF)).orderBy("id").select("domain_age_days").collect()]
+    assert ages == [1, 1, 0, 1, 0, -1, 0]
+
+
 def test_ranges_by_prefixes_against_scanning(spark):
     ranges = [(0, 2**32 - 1, "all"), (5, 5, "one"), (3, 17, "odd"), (2**31 - 3, 2**31 + 9, "middle"),
               (2**32 - 1, 2**32 - 1, "last")] + [(10**6 + 16 * i, 10**6 + 16 * i + 9, f"r{i}") for i in range(300)]
