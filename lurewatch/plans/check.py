@@ -103,14 +103,20 @@ def _report(keys: list[str], df: DataFrame) -> DataFrame:
 
 def check(
     urls: DataFrame, threat_table: DataFrame, whitelist: DataFrame | list[str], config: RuleConfig,
-    obs: Observations, as_of: Column, spread: list[str] | None = None, **options,
+    obs: Observations, as_of: Column, spread: list[str] | None = None, distinct: bool = False, **options,
 ) -> DataFrame:
     """One report per row of ``urls`` (rows without a URL are left out, see ``reject_empty``).
 
-    Columns of ``urls`` other than ``url`` are kept. Allow-listed rows have no key in the lookups. ``as_of`` is the moment of the check in epoch seconds; ``spread`` names columns that
-    tell rows of one URL apart."""
+    Columns of ``urls`` other than ``url`` are kept. Allow-listed rows have no key in the lookups.
+    ``as_of`` is the moment of the check in epoch seconds; ``spread`` names columns that tell rows of one
+    URL apart. Where URLs repeat a lot, ``distinct`` makes each report once and joins it to the rows."""
     keys = [name for name in urls.columns if name != "url"]
     spread = spread or urls.columns
+    if distinct:
+        rows = urls.where(F.col("url") != "")
+        once = check(rows.select("url").distinct(), threat_table, whitelist, config, obs, as_of, ["url"], **options)
+        once = once.withColumn("url", F.col("target"))
+        return lookup_join(rows, once, "url", spread, "inner").select(*keys, *REPORT)
     rows = with_lookup_host(urls.where(F.col("url") != ""))
     rows = settled(with_whitelisted(rows, whitelist, spread), "whitelisted")
     scored = with_scores(observed(rows, threat_table, config, obs, as_of, spread, **options), config)

@@ -506,10 +506,10 @@ def infra_score(spark, sf):
 # -- the check -----------------------------------------------------------------------------------------------
 
 
-def reports(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+def reports(spark: SparkSession, sf: str, rows: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     loaded = config.load_config(config.seed_tables(spark))
     return C.check(targets(spark, sf) if rows is None else rows, stored_threats(spark, sf),
-                   config.WHITELIST, loaded, observations(spark, sf), as_of())
+                   config.WHITELIST, loaded, observations(spark, sf), as_of(), distinct=distinct)
 
 
 def scalars(report: DataFrame, key: str) -> DataFrame:
@@ -618,7 +618,7 @@ def stream_first_seen(spark, sf):
 def stream_check(spark, sf):
     """The event stream as check requests; reports as the batch check gives them."""
     events = corpus.view(spark, sf, "check_requests", events=jobs.stream_table(spark, sf, "events"))
-    table = jobs.run_check(events, lambda rows: reports(spark, sf, rows))
+    table = jobs.run_check(events, lambda rows: reports(spark, sf, rows, distinct=True))
     return scalars(jobs.read_table(spark, table), "event_id")
 
 

@@ -93,7 +93,8 @@ def test_one_large_key_over_many_windows(spark):
 
 def test_golden_report(spark):
     urls = spark.createDataFrame(
-        [(1, "http://zygospor.ru"), (2, "https://docs.google.com/x")], "id int, url string")
+        [(1, "http://zygospor.ru"), (2, "https://docs.google.com/x"), (3, "http://zygospor.ru"), (4, ""), (5, None)],
+        "id int, url string")
     listed = threats.with_hash(spark.createDataFrame(
         [("http://zygospor.ru", "stopforumspam", "", "spam", datetime.datetime(2025, 12, 1))],
         "url string, source string, external_id string, threat_type string, created_at timestamp"))
@@ -111,9 +112,10 @@ def test_golden_report(spark):
     country = spark.createDataFrame([(base, base + 65535, "Germany"), (0, 2**32 - 1, "China")],
                                     "start_ip long, end_ip long, country string")
     obs = Observations(dns, tls, whois, None, asn, country)
-    for options in ({}, {"broadcast": False, "hot_rows": 1}):
+    for options in ({}, {"broadcast": False, "hot_rows": 1}, {"distinct": True}):
         reports = C.check(urls, listed, config.WHITELIST, config.RuleConfig(), obs, F.lit(AS_OF), **options)
         got = {r["id"]: json.loads(r["report"]) for r in C.report_json(reports).collect()}
+        assert sorted(got) == [1, 2, 3] and got[3] == got[1]
         assert got[2] == {"target": "https://docs.google.com/x", "verdict": "Safe", "risk_score": 0,
                           "reason": "Whitelisted Domain"}
         assert got[1]["risk_score"] == 100 and got[1]["reason"] == "Found in Blacklist"
