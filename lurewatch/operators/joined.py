@@ -8,6 +8,9 @@ meets is compared exactly; findings are then joined back to the rows.
 leaving out k characters at most; both sides are filed under all such strings.
 *Containment*: an entry is filed under the rarest (in the texts) of its three-character pieces; a text is
 filed under all of its own pieces that some entry is filed under.
+The filed entries are stored, so that their size is known: those of a list of moderate length are sent to
+the texts, whose many strings are then met where they are made and never moved. Texts are stored too,
+because several rules read them, and dealt evenly, because each makes many strings.
 
 Defined results are those of the literal forms: on a repeated keyword the entry with the highest id
 counts, a repeated brand is found each time, an empty entry is in every text, a null entry or text in none.
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from lurewatch.operators import lexical
 from lurewatch.operators.infra import HOSTING_RULES
 from lurewatch.operators.joins import lookup_join
+from lurewatch.session import checkpointed, dealt
 from lurewatch.sources.config import RuleConfig
 
 PIECE = 3
@@ -28,30 +32,19 @@ HOST_RULES = ["Suspicious Keyword in Domain", "Typosquatting", "Brand Injection"
 RULES = [*HOST_RULES, "Suspicious Keyword in Path"]
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value computed once; inside a lambda an expression is computed for each element."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 # -- look-alikes --------------------------------------------------------------------------------------
 
 
-def _without(text: Column, most: int) -> Column:
-    """The distinct strings that ``text`` becomes without up to ``most`` characters, as hashes."""
-
-    def shorter(chars: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.concat(
-            F.slice(chars, F.lit(1), i - 1), F.slice(chars, i + 1, F.size(chars))))
-
-    def all_of(chars: Column) -> Column:
-        found = F.array(chars)
-        if most >= 1:
-            found = F.concat(found, shorter(chars))
-        if most >= 2:
-            found = F.concat(found, F.flatten(F.transform(F.filter(shorter(chars), lambda one: F.size(one) > 0), shorter)))
-        return F.array_distinct(F.transform(found, lambda one: F.xxhash64(F.array_join(one, ""))))
-
-    return F.when(F.length(text) > 0, _bound(F.split(text, ""), all_of))
+def _without(rows: DataFrame, name: str, most: Column) -> DataFrame:
+    """Add ``key``, a hash of each string that ``name`` becomes without up to ``most`` (2 at most)
+    characters; some come more than once. An empty text has none."""
+    text, size, i, j = F.col(name), F.length(name), F.col("_i"), F.col("_j")
+    # The places of the characters left out, the first before the second; 0 is none.
+    firsts = F.when(size > 0, F.when(most >= 2, F.sequence(F.lit(0), size - 1)).otherwise(F.array(F.lit(0))))
+    seconds = F.when(most < 1, F.array(F.lit(0))).otherwise(F.sequence(F.when(i == 0, 0).otherwise(i + 1), size))
+    rows = rows.select("*", F.explode(firsts).alias("_i")).select("*", F.explode(seconds).alias("_j"))
+    rest = F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, j - i - 1), F.substr(text, j + 1))
+    return rows.withColumn("key", F.xxhash64(rest)).drop("_i", "_j")
 
 
 def lookalikes(tokens: DataFrame, brands: DataFrame) -> DataFrame:
@@ -59,43 +52,42 @@ def lookalikes(tokens: DataFrame, brands: DataFrame) -> DataFrame:
     from one of six bytes and more, but not equal to."""
     long = F.octet_length("name") >= lexical.LOOSE_BRAND_BYTES
     sized = brands.select("id", "name", F.when(long, 2).otherwise(1).alias("reach")).where("name IS NOT NULL")
-    longest = sized.agg(F.max(F.length("name") + F.col("reach")).alias("n")).scalar()
-    asked = tokens.where((F.octet_length("token") >= lexical.LOOKALIKE_MIN_BYTES) & (F.length("token") <= longest))
-    pairs = None
-    for reach in (1, 2):
-        held = sized.where(F.col("reach") == reach).select("id", "name", "reach", F.explode(_without(F.col("name"), reach)).alias("key"))
-        probes = asked.select("token", F.explode(_without(F.col("token"), reach)).alias("key"))
+    held = checkpointed(_without(sized, "name", F.col("reach")).distinct())
+    spans = held.groupBy("reach").agg(F.min(F.length("name")).alias("least"), F.max(F.length("name")).alias("most")).collect()
+    pairs = tokens.select("token", F.lit(None).cast(held.schema["id"].dataType).alias("id"), F.lit(None).cast("string").alias("name")).limit(0)
+    for reach, least, most in sorted(spans):
+        asked = tokens.select("token").where((F.octet_length("token") >= lexical.LOOKALIKE_MIN_BYTES) & F.length("token").between(
+            least - reach, most + reach))
         near = F.levenshtein("token", "name", 2).between(1, reach)
-        met = probes.join(held, "key").where(near).select("token", "id", "name")
-        pairs = met if pairs is None else pairs.unionByName(met)
+        met = _without(asked, "token", F.lit(reach)).join(held.where(F.col("reach") == reach), "key").where(near)
+        pairs = pairs.unionByName(met.select("token", "id", "name"))
     return pairs.distinct()
 
 
 # -- containment --------------------------------------------------------------------------------------
 
 
-def _pieces(text: Column, sizes: Column) -> Column:
-    def of_size(chars: Column, n: Column) -> Column:
-        last = F.size(chars) - n + 1
-        return F.when(last >= 1, F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))))
-
-    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    return _bound(chars, lambda c: F.array_distinct(F.flatten(F.array_compact(F.transform(sizes, lambda n: of_size(c, n))))))
+def _pieces(rows: DataFrame, name: str, size: str) -> DataFrame:
+    """Add ``piece``: each string of ``size`` characters in ``name``, as often as it is there; the empty one
+    once."""
+    text, n, i = F.col(name), F.col(size), F.col("_i")
+    starts = F.when(n == 0, F.array(F.lit(1))).when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
+    return rows.select("*", F.explode(starts).alias("_i")).withColumn("piece", F.substr(text, i, n)).drop("_i")
 
 
 def contained(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """``text`` and ``id`` of each distinct text and entry (``id, pattern``) that is part of it."""
     entries = entries.select("id", "pattern").where("pattern IS NOT NULL")
-    size = F.least(F.length("pattern"), F.lit(PIECE))
-    offered = entries.select("id", "pattern", F.explode(_pieces(F.col("pattern"), F.array(size))).alias("piece"))
-    sizes = entries.agg(F.collect_set(size).alias("sizes")).scalar()
-    sized = texts.select("text").where("text IS NOT NULL").distinct().select("text", F.explode(sizes).alias("_size"))
-    filed = sized.select("text", F.explode(_pieces(F.col("text"), F.array("_size"))).alias("piece"))
+    size = F.least(F.length("pattern"), F.lit(PIECE)).alias("size")
+    offered = checkpointed(_pieces(entries.select("id", "pattern", size), "pattern", "size").distinct())
+    sizes = [row["size"] for row in offered.select("size").distinct().collect()]  # 0 to PIECE
+    names = checkpointed(dealt(texts.select("text").where("text IS NOT NULL").distinct()))
+    sized = names.select("text", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size"))
+    filed = _pieces(sized, "text", "size").drop("size")
     often = filed.join(offered.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
     rarest = F.min_by("piece", F.struct(F.coalesce("n", F.lit(0).cast("long")), "piece"))
-    chosen = offered.join(often, "piece", "left").groupBy("id", "pattern").agg(rarest.alias("piece"))
-    return filed.join(chosen, "piece").where(F.contains("text", "pattern")).select("text", "id")
+    chosen = checkpointed(offered.join(often, "piece", "left").groupBy("id", "pattern").agg(rarest.alias("piece")))
+    return filed.join(chosen, "piece").where(F.contains("text", "pattern")).select("text", "id", "pattern").distinct().drop("pattern")
 
 
 def first_hosting(owners: DataFrame, hosting: DataFrame) -> DataFrame:
@@ -120,7 +112,7 @@ def host_findings(hosts: DataFrame, brands: DataFrame, keywords: DataFrame) -> D
     """Distinct ``clean_host`` rows (with ``tokens``) and their findings of ``HOST_RULES``."""
     rule, text = lexical.make_rule, F.lit
     each = hosts.select("clean_host", F.explode("tokens").alias("token"))
-    tokens = each.select("token").distinct()
+    tokens = checkpointed(dealt(each.select("token").distinct()))
     words = tokens.join(_latest(keywords).withColumnRenamed("word", "token"), "token").select("token", rule(
         "Suspicious Keyword in Domain", F.concat(text("Keyword '"), "token", text("'")), F.col("score")).alias("rule"))
     typos = lookalikes(tokens, brands).select("token", rule("Typosquatting", F.concat(
@@ -160,11 +152,12 @@ def with_rules(df: DataFrame, tables: dict[str, DataFrame], config: RuleConfig,
     kept = [c for c in df.columns if c != into]
     plain = [n for n in names if n not in RULES]
     df = lexical.with_rules(df, config, age, plain, into) if plain else df.withColumn(into, lexical.empty_rules())
+    df = checkpointed(df)
     parsed = df.where("parsed")
     parts = [F.col(into)]
     wanted = [n for n in names if n in HOST_RULES]
     if wanted:
-        hosts = parsed.select("clean_host", "tokens").dropDuplicates(["clean_host"])
+        hosts = checkpointed(parsed.select("clean_host", "tokens").dropDuplicates(["clean_host"]))
         df = lookup_join(df, host_findings(hosts, tables["brands"], tables["keywords"]), "clean_host", spread)
         parts.append(F.filter(F.coalesce("host_rules", lexical.empty_rules()), lambda r: r["name"].isin(wanted)))
     if "Suspicious Keyword in Path" in names:

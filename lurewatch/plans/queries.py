@@ -383,7 +383,8 @@ def blacklist_exists(spark, sf):
 @query
 def joined_rules(spark, sf):
     """The brand and keyword rules with their lists as tables."""
-    found = joined.with_rules(parts(spark, sf), config.seed_tables(spark), CONFIG, ["url_id"], names=joined.RULES)
+    rows = parts(spark, sf).select("url_id", "parsed", "path", "clean_host", "tokens")
+    found = joined.with_rules(rows, config.seed_tables(spark), CONFIG, ["url_id"], names=joined.RULES)
     return lexical.exploded(found, ["url_id"])
 
 

@@ -84,3 +84,19 @@ def test_first_hosting_pattern(spark):
     config = RuleConfig(hosting=rows)
     wanted = df.select("isp", infra.hosting_match(config, F.col("isp")).alias("m")).where("m IS NOT NULL")
     assert sorted(map(tuple, joined.first_hosting(df, table).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_strings_of_texts_are_not_moved_to_a_short_list(spark, capsys):
+    rows = [(1, "paypal"), (2, "ab"), (3, ""), (4, None), (5, "ébay😀"), (1, "paypal")]
+    brands = spark.createDataFrame(rows, "id int, name string")
+    texts = ["paypa1", "paypal", "xpaypalx", "ébay", "ébay😀", "a", "", "paypl-paypal", None]
+    near = joined.lookalikes(spark.createDataFrame([(t,) for t in texts], "token string"), brands)
+    inside = joined.contained(spark.createDataFrame([(t,) for t in texts], "text string"), brands.withColumnRenamed("name", "pattern"))
+    for frame in (near, inside):
+        capsys.readouterr()
+        frame.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, near.collect())) == [("paypa1", 1, "paypal"), ("xpaypalx", 1, "paypal"), ("ébay", 5, "ébay😀")]
+    assert sorted(map(tuple, inside.collect())) == sorted(
+        (t, i) for t in texts if t is not None for i, b in dict(rows).items() if b is not None and b in t)
