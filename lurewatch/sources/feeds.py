@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lurewatch.functions.barrier import settled
 from lurewatch.functions.url import trimmed
 from lurewatch.session import checkpointed
 
@@ -74,11 +75,12 @@ def phishtank(raw: DataFrame) -> DataFrame:
     """JSON arrays of ``{"phish_id": int, "url": string}``. An element of any other shape is skipped;
     an absent or null id reads as 0, an absent or null URL as the empty text. Of a document that is
     broken or cut off, the elements before the break are read."""
-    items = json_elements(raw)
-    kind = F.schema_of_variant("item")
-    items = items.where(kind.startswith("OBJECT")).select(
-        F.try_variant_get("item", "$.phish_id", "variant").alias("id"),
+    items = json_elements(raw).select(
+        "item", F.try_variant_get("item", "$.phish_id", "variant").alias("id"),
         F.try_variant_get("item", "$.url", "variant").alias("url"), *_carried(raw))
+    # Only an object has fields; the shape of a whole element is costly to name.
+    shaped = F.col("id").isNotNull() | F.col("url").isNotNull() | F.schema_of_variant("item").startswith("OBJECT")
+    items = settled(items, "id", "url").where(shaped)
 
     def typed(name: str, wanted: str, default: str) -> Column:
         shape = F.coalesce(F.schema_of_variant(name), F.lit("VOID"))
@@ -86,7 +88,8 @@ def phishtank(raw: DataFrame) -> DataFrame:
         return F.when(shape == "VOID", default).when(shape == wanted, text)
 
     df = items.select(typed("id", "BIGINT", "0").alias("id"), typed("url", "STRING", "").alias("url"), *_carried(raw))
-    return _threats(df.dropna(subset=["id", "url"]), F.col("url"), "phishtank", "phishing", F.col("id"))
+    # Settled, so that the filter does not compute them a second time.
+    return _threats(settled(df, "id", "url").dropna(subset=["id", "url"]), F.col("url"), "phishtank", "phishing", F.col("id"))
 
 
 def urlhaus(raw: DataFrame) -> DataFrame:
@@ -112,10 +115,12 @@ def threatfox(raw: DataFrame) -> DataFrame:
     """JSON objects ``id -> [{ioc_value, ioc_type, threat_type}]``; URL and domain entries are kept as
     they are written. A document that is not such an object stops the run."""
     shape = "map<string,array<struct<ioc_value:string,ioc_type:string,threat_type:string>>>"
-    parsed = F.from_json("value", shape)
-    broken = parsed.isNull() & (F.trim("value") != "")
-    parsed = F.when(broken, F.raise_error(F.lit("threatfox: not a JSON object of lists")).cast(shape)).otherwise(parsed)
-    entries = raw.select(F.explode(parsed).alias("id", "items"), *_carried(raw))
+    broken = F.col("_parsed").isNull() & (F.trim("value") != "")
+    parsed = F.when(broken, F.raise_error(F.lit("threatfox: not a JSON object of lists")).cast(shape)).otherwise(F.col("_parsed"))
+    # Settled, as each use of the parsed text would parse it once more.
+    read = settled(raw.select("value", F.from_json("value", shape).alias("_parsed"), *_carried(raw)), "_parsed")
+    entries = settled(read.select(parsed.alias("_parsed"), *_carried(raw)), "_parsed").select(
+        F.explode("_parsed").alias("id", "items"), *_carried(raw))
     iocs = entries.select("id", F.inline("items"), *_carried(raw)).where(F.col("ioc_type").isin(KEPT_IOC_TYPES))
     return _threats(iocs, F.coalesce("ioc_value", F.lit("")), "threatfox",
                     F.coalesce("threat_type", F.lit("")), F.col("id"))
@@ -229,10 +234,46 @@ def json_pieces(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(ends, "landed_path").select("piece", closes.alias("closes"), *LANDED)
 
 
-def json_elements(raw: DataFrame) -> DataFrame:
-    """The elements of JSON arrays as variants ``item``, up to the first break of each document.
+AT_ONCE = 1 << 20  # a document of up to so many bytes is parsed in one go
+
+
+def _elements(text: Column) -> Column:
+    """What the parser makes of a text between two seals: ``all`` has the seals and the text's elements if
+    it is one array and nothing more, which ``_only_array`` tests. A text can't hold its own hash, so
+    whatever it closes or opens, it does not pass for an array with something behind it."""
+    seal = F.concat(F.lit("["), F.xxhash64(text).cast("string"), F.lit("]"))
+    sealed = F.concat(F.lit('{"all":['), seal, F.lit(","), text, F.lit(","), seal, F.lit("]}"))
+    options = {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"}
+    return F.when(F.octet_length(text) <= AT_ONCE, F.from_json(sealed, "all array<array<variant>>, broken string", options))
+
 
-    ``raw`` holds documents in ``value``, or ``json_pieces``. Depth and quotation before a piece follow
+def _only_array(parsed: str, text: Column) -> Column:
+    def sealed(part: int) -> Column:
+        one = F.get(F.col(f"{parsed}.all"), part)
+        return (F.size(one) == 1) & (F.try_variant_get(F.get(one, 0), "$", "bigint") == F.xxhash64(text))
+
+    whole = F.col(f"{parsed}.broken").isNull() & (F.size(f"{parsed}.all") == 3) & sealed(0) & sealed(2)
+    return F.when(whole, F.get(F.col(f"{parsed}.all"), 1))
+
+
+def json_elements(raw: DataFrame) -> DataFrame:
+    """The elements of JSON arrays as variants ``item``, up to the first break of each document; those that
+    are no objects may be left out behind the last object.
+
+    ``raw`` holds documents in ``value``, or ``json_pieces``. Of the documents those that are whole arrays
+    of moderate size are parsed as they are; only the others are cut into pieces."""
+    if "piece" in raw.columns:
+        return _pieced_elements(raw)
+    parsed = raw.withColumn("_parsed", _elements(F.col("value")))
+    parsed = parsed.select(*raw.columns, _only_array("_parsed", F.col("value")).alias("_items"))
+    texts = checkpointed(parsed.withColumn("_rest", F.col("_items").isNull() & F.col("value").isNotNull()))
+    whole = texts.select(F.explode("_items").alias("item"), *_carried(raw))
+    others = texts.where("_rest").drop("_items", "_rest")
+    return whole if others.isEmpty() else whole.unionByName(_pieced_elements(others))
+
+
+def _pieced_elements(raw: DataFrame) -> DataFrame:
+    """The elements by pieces of the documents. Depth and quotation before a piece follow
     from the pieces before; an object of the array ends where a brace brings the depth back to one. What
     lies between two such ends is an array of its own once brackets are put around it."""
     if "piece" not in raw.columns:

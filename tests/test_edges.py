@@ -172,3 +172,23 @@ def test_long_configuration_is_not_collected(spark):
     assert config.load_config(tables | {"keywords": more}).keywords["login"] == 1
     with pytest.raises(ValueError):
         config.load_config(tables, most=100)
+
+
+def test_only_odd_documents_are_cut_into_pieces(spark, monkeypatch):
+    a, b = '{"phish_id":1,"url":"a"}', '{"phish_id":2,"url":"b}"}'
+    whole = ["[]", f" [{a}, 5, {b}]\n", f"[[{a}]]", '[{"url":"\\u0022}"},null]']
+    odd = [f"[{a}", f"[{a}],[{b}]", f"[{a},5] , [{b},{a}]", f'[{a}]],"all":[[5],[{b}]', f'[{a}],"all":[[1],[{b}]', f"[{a} {b}]", a, "null", "",
+           f"[{{'phish_id':1,'url':'a}}'}},{b}]", f'[{{"url":"c","url":"d"}},{b}]', f"[{a}]]", f"[{a}] x", f"[{a},]"]
+    frame = spark.createDataFrame([(d, d) for d in [*whole, *odd, None]], "value string, landed_path string").select(
+        "value", F.lit(None).cast("timestamp").alias("landed_at"), "landed_path", *[F.lit(0).alias(c) for c in ("landed_block", "landed_place")])
+    cut, quoted = [], feeds._with_quoted
+    monkeypatch.setattr(feeds, "_with_quoted", lambda rows, *rest: cut.append(rows.count()) or quoted(rows, *rest))
+    found = feeds.phishtank(frame).select("landed_path", "url", "external_id")
+    assert cut == [sum(len(d.split("}")) for d in odd)]
+    monkeypatch.setattr(feeds, "json_elements", feeds._pieced_elements)
+    pieced = feeds.phishtank(frame).select("landed_path", "url", "external_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pieced.collect()))
+    cut.clear()
+    monkeypatch.undo()
+    monkeypatch.setattr(feeds, "_with_quoted", lambda rows, *rest: cut.append(1) or quoted(rows, *rest))
+    assert feeds.phishtank(frame.where(F.col("value").isin(whole))).count() == 3 and cut == []
