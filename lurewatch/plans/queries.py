@@ -583,16 +583,28 @@ def in_thirds(frame: DataFrame, time: Column) -> Column:
     return F.least(F.floor((F.unix_micros(time) - low) * 3 / max(high - low, 1)).cast("int"), F.lit(2))
 
 
+def stored_raw(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The raw rows of each feed with their ``_part``, 0 to 2. Each view is made once and stored by part."""
+    part = F.coalesce(F.pmod(F.xxhash64("value"), F.lit(3)), F.lit(0)).cast("int").alias("_part")
+    stored = {}
+    for name in feeds.NORMALISERS:
+        view = RAW_VIEWS.get(name, "raw_lines")
+        if view not in stored:
+            folder = shared_folder(spark, view)
+            raw_view(spark, sf, name).select("value", part).write.partitionBy("_part").parquet(folder)
+            stored[view] = spark.read.schema("value string, _part int").parquet(folder)
+    return {name: stored[RAW_VIEWS.get(name, "raw_lines")] for name in feeds.NORMALISERS}
+
+
 @query
 def stream_ingest(spark, sf):
     """All eight feeds landed as files in three parts and taken up as one stream."""
     store, checkpoint = shared_folder(spark, "threats"), shared_folder(spark, "ingest")
     folders = {name: shared_folder(spark, f"feed-{name}") for name in feeds.NORMALISERS}
+    raw = stored_raw(spark, sf)
     for number in range(3):
         for name, folder in folders.items():
-            raw = raw_view(spark, sf, name)
-            part = F.pmod(F.xxhash64("value"), F.lit(3))
-            raw.where(F.coalesce(part, F.lit(0)) == number).write.mode("append").text(folder)
+            raw[name].where(F.col("_part") == number).select("value").write.mode("append").text(folder)
         arriving = feeds.union_feeds([feeds.read_raw(spark, name, folder, stream=True, wholetext=False)
                                       for name, folder in folders.items()])
         jobs.ingest(arriving, F.timestamp_seconds(as_of()), store, checkpoint, digits=1, compact_every=2)

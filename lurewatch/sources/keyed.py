@@ -55,6 +55,11 @@ def _may_hold(bits: Column, positions: Column) -> Column:
     return F.forall(positions, is_set)
 
 
+def nothing(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, as a frame that the optimizer knows to be empty."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).limit(0)
+
+
 class KeyedTable:
     """``digits`` sets the number of folders: 16 to its power."""
 
@@ -87,7 +92,7 @@ class KeyedTable:
         return [f"base-{base}"] * (base >= 0) + [f"batch-{n}" for kind, n in whole if kind == "batch" and n > base]
 
     def _read(self, names: list[str]) -> DataFrame:
-        frame = self.spark.createDataFrame([], self.schema)
+        frame = nothing(self.spark, self.schema)
         for name in names:
             rows = self.spark.read.schema(self.stored).parquet(f"{self.path}/{name}")
             frame = frame.unionByName(rows.select(*self.schema.names))
@@ -151,7 +156,7 @@ class KeyedTable:
         """The stored rows of the keys, read from the folders that may hold some."""
         hits = checkpointed(self.candidates(keys, before))
         folders = hits.select("_folder", PREFIX).distinct().collect()  # at most live batches times prefixes
-        rows = self.spark.createDataFrame([], self.schema)
+        rows = nothing(self.spark, self.schema)
         for name in sorted({row["_folder"] for row in folders}):
             paths = [f"{self.path}/{name}/{PREFIX}={row[PREFIX]}" for row in folders if row["_folder"] == name]
             own = self.spark.read.schema(self.schema).parquet(*paths)

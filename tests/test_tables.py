@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.operators import anchored, joins, threats
 from lurewatch.plans import check as C
+from lurewatch.plans import corpus, queries
 from lurewatch.operators.infra import Observations
 from lurewatch.operators.whitelist import with_whitelisted
 from lurewatch.sources import config, feeds
@@ -124,3 +125,19 @@ def test_golden_report(spark):
         assert got[1]["whois"]["domain_age_days"] == 797
         assert got[1]["infrastructure"]["geolocation"] == {
             "country": "Germany", "isp": "GHOSTnet GmbH", "asn": 12586, "organization": "GHOSTnet GmbH"}
+
+
+def test_narrow_tables_are_dealt_and_views_made_once(spark, tmp_path):
+    """A small file holds many keys, each of which causes much work."""
+    spark.range(1, 3001).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, "http://a/"), (2, None), (None, "b")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    hosts = corpus.view(spark, str(tmp_path), "host_dim")
+    assert sorted(r["n"] for r in hosts.collect()) == list(range(1, 3001))
+    sizes = hosts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["n"] for r in sizes) < 1000
+    stored = queries.stored_raw(spark, str(tmp_path))
+    assert sorted(stored) == sorted(feeds.NORMALISERS) and len({tuple(f.inputFiles()) for f in stored.values()}) == 4
+    for name, frame in stored.items():
+        raw = queries.raw_view(spark, str(tmp_path), name)
+        assert frame.select("value").exceptAll(raw).isEmpty() and raw.exceptAll(frame.select("value")).isEmpty()
+        assert {r["_part"] for r in frame.select("_part").distinct().collect()} == {0, 1, 2}
