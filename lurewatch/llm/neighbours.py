@@ -5,11 +5,16 @@ fitted on at most ``SAMPLE`` vectors; every vector is then filed under its leaf
 walks all trees with one priority queue, nearest hyperplanes first, until it has met ``SHARE`` of all
 leaves; the vectors of those leaves are scored exactly, in double precision, and the best are kept.
 Queries that met fewer than they should list (few distinct vectors leave most leaves empty) are then
-scored against all vectors, in blocks, so every query gets ``most`` rows, or all candidates if fewer.
+scored against all vectors, so every query gets ``most`` rows, or all candidates if fewer.
 
 Largest inner products are found as nearest neighbours: every vector gets one more component that
-brings it to the largest norm. Equal vectors are filed once, with their smallest ids. The queries that
-meet in a leaf are cut into blocks, so no task's group grows with the number of queries.
+brings it to the largest norm. Equal vectors are filed once, with their smallest ids.
+
+Vectors are dealt to shards, queries to all shards; a task holds one shard and streams its queries,
+ordered by their leaf in the first tree. A block of them is multiplied with the vectors that lie in any
+leaf one of them met, each once, whatever the number of trees; what is above a query's bound and in a
+leaf of its own is scored exactly. The best of a shard go on, ``most`` a query, so neither the shuffle
+nor a task grows with the leaves that queries meet.
 
 Vectors without direction (as in the test tables) leave little for trees to cut off: a recall of 0.9
 takes more than half of all vectors. On such data the work grows with queries times vectors; data
@@ -22,8 +27,6 @@ agree in id and vector are one candidate.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +41,17 @@ LEAST_DEPTH, MOST_DEPTH = 6, 16
 LEAF_ROWS = 1_000
 SHARE = 1 / 5
 SAMPLE = 10_000
-QUERY_BLOCK = 4_000
 SEED = 7
 
+# A shard has an eighth of the vectors, within these bounds; a task holds one.
+SHARD_ROWS, SHARD_BYTES = 65_536, 128 << 20
+# Queries multiplied at once, and the entries of what is kept for them by leaf.
+BLOCK, BLOCK_LEAVES, SEARCH_LEAVES = 256, 1 << 25, 1 << 19
+# Vectors multiplied at once, doubling from the first to the second while the bounds of the queries rise.
+FIRST_CHUNK, CHUNK = 1_024, 8_192
+# Components of the pairs scored exactly at once.
+PAIRS_WIDE = 1 << 22
+
 
 class Tree:
     """A full binary tree: hyperplanes in heap order, leaves numbered from left to right."""
@@ -74,27 +85,59 @@ class Tree:
         return node - (2 ** self.depth - 1)
 
 
+def visited(trees: list[Tree], points: np.ndarray, visits: int) -> np.ndarray:
+    """For each point, which leaves (tree * leaves + leaf) one queue over all trees reaches first.
+
+    A branch's priority is the largest distance to a hyperplane on the wrong side of which it lies; of
+    equal ones, the smaller tree and the higher branch come first. The queue gives out leaves in that
+    order, so those it reaches first are those before the leaf of place ``visits``."""
+    depth, leaves, n = trees[0].depth, 2 ** trees[0].depth, len(points)
+    margins = [points @ t.planes.T - t.offsets for t in trees]
+    away = np.empty((n, len(trees), leaves))
+    for number, margin in enumerate(margins):
+        above = np.zeros((n, 1))
+        for level in range(depth):
+            here = margin[:, 2 ** level - 1:2 ** (level + 1) - 1]
+            below = (away[:, number] if level == depth - 1 else np.empty((n, 2 ** (level + 1)))).reshape(n, -1, 2)
+            np.maximum(above, here, out=below[:, :, 0])  # ``above`` itself if the point lies there
+            np.maximum(above, -here, out=below[:, :, 1])
+            above = below.reshape(n, -1)
+    away = away.reshape(n, -1)
+    if visits >= away.shape[1]:
+        return np.ones(away.shape, dtype=bool)
+    last = np.partition(away, visits - 1, axis=1)[:, visits - 1:visits]
+    met = away <= last
+    spare = np.count_nonzero(met, axis=1) - visits
+    many = np.flatnonzero(spare)
+    row, equal = np.nonzero(away[many] == last[many])
+    row, number, node = many[row], equal // leaves, equal % leaves + leaves - 1
+    branch, climbs = np.zeros(len(row), dtype=np.int64), np.arange(len(row))
+    margins = np.stack(margins) if len(row) else None
+    while len(climbs):  # to the last step that led away from the point
+        parent = (node[climbs] - 1) // 2
+        strays = node[climbs] != 2 * parent + 1 + (margins[number[climbs], row[climbs], parent] >= 0)
+        branch[climbs[strays]] = node[climbs[strays]]
+        node[climbs] = parent
+        climbs = climbs[~strays & (parent > 0)]
+    order = np.lexsort((-branch, -number, row))  # the last of a row first
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    drop = order[place < spare[row]]
+    met[row[drop], equal[drop]] = False
+    return met
+
+
 def searched(trees: list[Tree], point: np.ndarray, visits: int) -> list[int]:
-    """The leaves (tree * leaves + leaf) that one queue over all trees reaches first.
-
-    A branch's priority is the largest distance to a hyperplane on the wrong side of which it lies."""
-    margins = [t.planes @ point - t.offsets for t in trees]
-    inner, found = 2 ** trees[0].depth - 1, []
-    queue = [(0.0, number, 0) for number in range(len(trees))]
-    while queue and len(found) < visits:
-        away, number, node = heapq.heappop(queue)
-        while node < inner:
-            margin = margins[number][node]
-            near = 2 * node + 1 + (margin >= 0)
-            heapq.heappush(queue, (max(away, abs(margin)), number, 4 * node + 3 - near))
-            node = near
-        found.append(number * (inner + 1) + node - inner)
-    return found
+    """The leaves that the queue reaches first for one point, in ascending order."""
+    return np.flatnonzero(visited(trees, point[None], visits)[0]).tolist()
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+def _native(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=kind).astype(np.float64).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    return _native(column, kind).astype(np.float64)
 
 
 def _raised(points: np.ndarray, top: float) -> np.ndarray:
@@ -103,17 +146,99 @@ def _raised(points: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([points, rest])
 
 
-def _best(one: np.ndarray, ids: list, query: np.ndarray, query_id: int, rough: np.ndarray, most: int):
-    """The best (score, id) of the filed vectors for a query."""
-    near = np.flatnonzero(rough >= np.partition(rough, -(most + 1))[-(most + 1)] - 1e-9) \
-        if len(rough) > most + 1 else np.arange(len(rough))
-    while True:
-        scores = (one[near] * query).sum(axis=1)
-        found = [(-s, i) for s, n in zip(scores.tolist(), near.tolist()) for i in ids[n] if i != query_id]
-        if len(found) >= most or len(near) == len(rough):
-            found.sort()
-            return found[:most]
-        near = np.arange(len(rough))  # the nearest were other vectors of the query's own id
+def _unit(points: np.ndarray) -> np.ndarray:
+    points = points / np.abs(points).max(axis=1, keepdims=True)
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+def _directed(points: np.ndarray, top: float) -> np.ndarray:
+    """In the raised space a query is a direction; only its own last component is 0."""
+    return np.column_stack([_unit(points) * top, np.zeros(len(points))])
+
+
+class Shard:
+    """Some of the vectors, with their ids and the leaf that holds each in every tree."""
+
+    def __init__(self, batches: list[pa.RecordBatch], kind: str, top: float):
+        self.data = np.concatenate([_native(b.column("vector"), kind) for b in batches])
+        self.leaves = np.concatenate([_native(b.column("leaves"), "<i4") for b in batches])
+        lists = [b.column("ids") for b in batches]
+        self.ids = np.concatenate([x.flatten().to_numpy() for x in lists])
+        self.sizes = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        # Rough scores are for bounds only; single precision neither overflows nor vanishes in this range.
+        kept = kind == "<f8" or 1e-15 < top < 1e15
+        self.rough = self.data if kept else self.data.astype(np.float64)
+        self.norms = np.concatenate([
+            np.linalg.norm(self.data[at:at + CHUNK].astype(np.float64), axis=1) for at in range(0, len(self.data), CHUNK)])
+
+    def best(self, query_ids: np.ndarray, points: np.ndarray, met: np.ndarray | None, most: int):
+        """Query number, id and score of the ``most`` best of each query, among the vectors that lie in a leaf
+        which it met (all, if None)."""
+        points, size, at = points.astype(np.float64), FIRST_CHUNK, 0
+        lengths, single = np.linalg.norm(points, axis=1), self.sizes == 1
+        rough_points = _unit(points).astype(self.rough.dtype)
+        error = (points.shape[1] + 8) * np.finfo(self.rough.dtype).eps
+        rows = np.arange(len(self.data))
+        if met is not None:
+            rows = rows[met.any(axis=0)[self.leaves].any(axis=1)]
+        scores, ids = np.full((len(points), most), -np.inf), np.zeros((len(points), most), dtype=np.int64)
+        pairs, due, step = [], FIRST_CHUNK, max(256, PAIRS_WIDE // points.shape[1])
+        while at < len(rows):
+            part = rows[at:at + size]
+            whole = part[-1] - part[0] + 1 == len(part)
+            rough = rough_points @ (self.rough[part[0]:part[-1] + 1] if whole else self.rough[part]).T
+            slack = error * self.norms[part].max() + points.shape[1] * 1e-44
+            least = scores[:, -1] / lengths - slack
+            few = np.flatnonzero(scores[:, -1] == -np.inf)
+            if len(few):  # no bound yet: that of this part alone
+                out = single[part] & (self.ids[self.starts[part]] == query_ids[few, None])
+                if met is not None:
+                    own = met[few]
+                    out |= ~np.logical_or.reduce([own[:, leaf] for leaf in self.leaves[part].T])
+                rough[few] = np.where(out, -np.inf, rough[few])
+                if len(part) > most:
+                    least[few] = np.partition(rough[few], -most, axis=1)[:, -most] - 2 * slack
+            least = np.nextafter(least.astype(rough.dtype), rough.dtype.type(-np.inf))
+            above = rough >= np.maximum(least, np.finfo(rough.dtype).min)[:, None]
+            query, place = np.divmod(np.flatnonzero(above), len(part))
+            vector = part[place]
+            if met is not None:
+                own = met[query[:, None], self.leaves[vector]].any(axis=1)
+                query, vector = query[own], vector[own]
+            pairs.append((query, vector))
+            at += size
+            size = min(CHUNK, at)
+            if at >= min(due, len(rows)) or sum(len(x) for x, _ in pairs) > step:
+                query, vector = map(np.concatenate, zip(*pairs))
+                for first in range(0, len(query), step):
+                    self._merge(scores, ids, query_ids, points, query[first:first + step], vector[first:first + step])
+                pairs, due = [], 2 * at
+        number, rank = np.nonzero(scores > -np.inf)
+        return number, ids[number, rank], scores[number, rank]
+
+    def _merge(self, scores, ids, query_ids, points, query, vector) -> None:
+        """Scores the pairs and takes them up among the best, distinct ones by score and id."""
+        score = (self.data[vector].astype(np.float64) * points[query]).sum(axis=1)
+        size = self.sizes[vector]
+        pair = np.repeat(np.arange(len(query)), size)
+        found = self.ids[self.starts[vector][pair] + np.arange(len(pair)) - (np.cumsum(size) - size)[pair]]
+        other = found != query_ids[query[pair]]
+        pair, found = pair[other], found[other]
+        old, rank = np.nonzero(scores > -np.inf)
+        query = np.concatenate([old, query[pair]])
+        lack = -np.concatenate([scores[old, rank], score[pair]])
+        found = np.concatenate([ids[old, rank], found])
+        order = np.lexsort((lack, query))
+        if ((query[order[1:]] == query[order[:-1]]) & (lack[order[1:]] == lack[order[:-1]])).any():
+            order = np.lexsort((found, lack, query))
+        query, lack, found = query[order], lack[order], found[order]
+        new = np.ones(len(query), dtype=bool)
+        new[1:] = (query[1:] != query[:-1]) | (lack[1:] != lack[:-1]) | (found[1:] != found[:-1])
+        query, lack, found = query[new], lack[new], found[new]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = rank < scores.shape[1]
+        scores[query[kept], rank[kept]], ids[query[kept], rank[kept]] = -lack[kept], found[kept]
 
 
 def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int = TREES,
@@ -156,77 +281,73 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
     forest = Sent(vectors.sparkSession, [Tree(fitted, depth, rng) for _ in range(trees)])
     leaves = trees * 2 ** depth
     visits = max(1, int(np.ceil(leaves * share)))
-    blocks = int(max(1, np.ceil(queries.count() * share / QUERY_BLOCK)))
+    block = int(np.clip(BLOCK_LEAVES // leaves, 1, BLOCK))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    most_rows = min(max(SHARD_ROWS, count // 8), max(1, SHARD_BYTES // (width * int(kind[-1]))))
+    shards = int(max(1, np.ceil(count / most_rows), min(np.ceil(np.sqrt(2 * cores)), count // FIRST_CHUNK)))
 
     def file(batches):
         grown = forest.load()
         for batch in batches:
             raised = _raised(_matrix(batch.column(0), kind), top)
-            for number, tree in enumerate(grown):
-                leaf = tree.leaves(raised) + number * 2 ** depth
-                for block in range(blocks):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(leaf * blocks + block), batch.column(0), batch.column(1)],
-                        names=["leaf", "vector", "ids"])
+            leaf = np.column_stack([tree.leaves(raised) + number * 2 ** depth for number, tree in enumerate(grown)])
+            data = [row.tobytes() for row in leaf.astype("<i4")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["vector", "ids", "leaves"])
 
-    def search(batches):
-        grown = forest.load()
+    def ask(batches):
+        first = forest.load()[0]
         for batch in batches:
-            ids, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            matrix = _matrix(batch.column(1), kind)
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            # In the raised space a query is a direction; only its own last component is 0.
-            raised = np.column_stack([matrix / length * top, np.zeros(len(matrix))])
-            found = [(leaf * blocks + i // every % blocks, i, v) for i, v, p in zip(ids, data, raised)
-                     for leaf in searched(grown, p, visits)]
-            columns = list(zip(*found)) if found else [[], [], []]
+            leaf = first.leaves(_directed(_matrix(batch.column(1), kind), top))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
-                names=["leaf", "query_id", "vector"])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, found = [], []
-        if left.num_rows and right.num_rows:
-            one, two = _matrix(left["vector"], kind), _matrix(right["vector"], kind)
-            ids = left["ids"].to_pylist()
-            for at in range(0, len(two), 500):  # bounds the score matrix
-                rough = two[at:at + 500] @ one.T
-                for row, query_id in enumerate(right["query_id"][at:at + 500].to_pylist()):
-                    asked.append(query_id)
-                    found.append(_best(one, ids, two[at + row], query_id, rough[row], most))
-        return pa.table({
-            "query_id": pa.array(asked, pa.int64()),
-            "found": pa.array([[{"lack": s, "vec_id": i} for s, i in f] for f in found],
-                              pa.list_(pa.struct([("lack", pa.float64()), ("vec_id", pa.int64())])))})
-
-    index = filed.mapInArrow(file, "leaf long, vector binary, ids array<long>").groupBy("leaf")
-    asked = queries.select("vec_id", "vector").mapInArrow(search, "leaf long, query_id long, vector binary").groupBy("leaf")
-    scored = index.cogroup(asked).applyInArrow(
-        score, "query_id long, found array<struct<lack:double,vec_id:long>>")
-
-    def merged(parts: DataFrame) -> DataFrame:
-        # A query has at most ``visits`` rows, or one per block, of ``most`` candidates each.
-        return parts.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(
-            F.flatten(F.collect_list("found")))), 1, most).alias("found"))
-
-    met = stored(merged(scored), "met")
+                [batch.column(0), batch.column(1), pa.array(leaf, pa.int32())], names=["query_id", "vector", "spot"])
+
+    def copied(number: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+    def best_of(asked: DataFrame, all_leaves: bool) -> DataFrame:
+        """The best found of each query: query_id, rank, vec_id, score."""
+        groups = int(np.clip(np.ceil(2 * cores / shards), 1, max(1, np.ceil(asked.count() / BLOCK))))
+
+        def score(batches):
+            grown, held, shard = forest.load(), [], None
+            for batch in batches:
+                start = int(np.searchsorted(batch.column("spot").to_numpy(), 0))
+                if start:
+                    held.append(batch.slice(0, start))
+                if start < batch.num_rows and held:
+                    shard, held = Shard(held, kind, top), []
+                for at in range(start, batch.num_rows if shard else 0, block):
+                    rows = batch.slice(at, block)
+                    ids, points = rows.column("ids").flatten().to_numpy(), _native(rows.column("vector"), kind)
+                    met = None if all_leaves else np.concatenate([
+                        visited(grown, _directed(points[i:i + step].astype(np.float64), top), visits)
+                        for step in [max(1, SEARCH_LEAVES // leaves)] for i in range(0, len(points), step)])
+                    number, found, scores = shard.best(ids, points, met, most)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[number]), pa.array(-scores), pa.array(found)], names=["query_id", "lack", "vec_id"])
+
+        of_vector = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")
+        of_query = F.pmod(F.xxhash64("query_id", "vector"), F.lit(groups)).cast("int")
+        index = filed.mapInArrow(file, "vector binary, ids array<long>, leaves binary").withColumn("_copy", copied(groups))
+        asked = asked.mapInArrow(ask, "query_id long, vector binary, spot int").withColumn("_copy", copied(shards))
+        units = index.select(
+            (of_vector * groups + F.col("_copy")).alias("unit"), F.lit(-1).alias("spot"), "ids", "vector", "leaves"
+        ).unionByName(asked.select(
+            (F.col("_copy") * groups + of_query).alias("unit"), "spot", F.array("query_id").alias("ids"), "vector",
+            F.lit(None).cast("binary").alias("leaves")))
+        scored = units.repartitionById(shards * groups, "unit").sortWithinPartitions("spot").mapInArrow(
+            score, "query_id long, lack double, vec_id long")
+        # A query has ``most`` rows of each shard; equal rows are of several vectors with one id.
+        rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("lack", "vec_id"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= most).distinct().select(
+            "query_id", "rank", "vec_id", (-F.col("lack")).alias("score"))
+
+    asked = queries.select(F.col("vec_id").alias("query_id"), "vector")
+    met = stored(best_of(asked, all_leaves=False), "met")
     least = min(most, points.count() - 1)
-    short = stored(queries.join(
-        met.select(F.col("query_id").alias("vec_id"), F.size("found").alias("_met")), "vec_id", "left"
-    ).where(F.coalesce("_met", F.lit(0)) < least).select(F.col("vec_id").alias("query_id"), "vector"), "short")
-    missing = short.count()
-    if missing:
-        rows, columns = (int(np.ceil(n / QUERY_BLOCK)) for n in (count, missing))
-
-        def copied(number: int):
-            return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
-
-        every_vector = filed.withColumn("_column", copied(columns)).select(
-            (F.pmod(F.xxhash64("vector"), F.lit(rows)) * columns + F.col("_column")).alias("leaf"), "vector", "ids")
-        every_short = short.withColumn("_row", copied(rows)).select(
-            (F.col("_row") * columns + F.pmod(F.xxhash64("query_id"), F.lit(columns))).alias("leaf"), "query_id", "vector")
-        topped = merged(every_vector.groupBy("leaf").cogroup(every_short.groupBy("leaf")).applyInArrow(
-            score, "query_id long, found array<struct<lack:double,vec_id:long>>"))
-        met = met.join(short.select("query_id"), "query_id", "left_anti").unionByName(topped)
-    return met.select("query_id", F.posexplode("found").alias("at", "hit")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", (-F.col("hit.lack")).alias("score"))
+    short = stored(asked.join(met.groupBy("query_id").agg(F.max("rank").alias("_met")), "query_id", "left").where(
+        F.coalesce("_met", F.lit(0)) < least).select("query_id", "vector"), "short")
+    if not short.isEmpty():
+        met = met.join(short.select("query_id"), "query_id", "left_anti").unionByName(best_of(short, all_leaves=True))
+    return met
