@@ -104,9 +104,8 @@ def _by_doubling(timed: DataFrame, key: str, order: str, length: int, large_rows
     doubled every round, so 2^n windows take n rounds."""
     moments = checkpointed(timed.groupBy(key, "_us").agg(F.min(order).alias("_first")))
     starts = moments.groupBy(key).agg(F.min("_us").alias("_us"))
-    ends = moments.agg(F.min("_us"), F.max("_us")).first()
-    span = (ends[1] or 0) - (ends[0] or 0)
-    hops = checkpointed(_next_moments(moments.select(key, "_us"), key, length, ends[0] or 0, span))
+    first, span = _ends(moments)
+    hops = checkpointed(_next_moments(moments.select(key, "_us"), key, length, first, span))
     windows = span // length + 1
     reach = 1
     while reach <= windows:
@@ -134,10 +133,18 @@ def _by_doubling(timed: DataFrame, key: str, order: str, length: int, large_rows
         *timed.columns, "opens", "_start")
 
 
-def _next_moments(moments: DataFrame, key: str, length: int, first: int, span: int) -> DataFrame:
+def _ends(moments: DataFrame) -> tuple[int, int]:
+    """The first moment of all, and from there to the last."""
+    ends = moments.agg(F.min("_us"), F.max("_us")).first()
+    return ends[0] or 0, (ends[1] or 0) - (ends[0] or 0)
+
+
+def _next_moments(moments: DataFrame, key: str, length: int, first: int | None = None, span: int | None = None) -> DataFrame:
     """``key, _us, _next``: the first moment at or after ``_us`` plus the length; rows without one are
     left out. Moments are sorted within small blocks of time; if none follows in the block, the next
-    block with moments is searched level by level."""
+    block with moments is searched level by level. ``first`` and ``span`` are those of ``_ends``."""
+    if first is None or span is None:
+        first, span = _ends(moments)
     width = max(length // BLOCKS, 1)
 
     def block(column: str) -> F.Column:
