@@ -48,7 +48,7 @@ SHARD_ROWS, SHARD_BYTES = 65_536, 128 << 20
 # Queries multiplied at once, and the entries of what is kept for them by leaf.
 BLOCK, BLOCK_LEAVES, SEARCH_LEAVES = 256, 1 << 25, 1 << 19
 # Vectors multiplied at once, doubling from the first to the second while the bounds of the queries rise.
-FIRST_CHUNK, CHUNK = 1_024, 8_192
+FIRST_CHUNK, CHUNK = 512, 8_192
 # Components of the pairs scored exactly at once.
 PAIRS_WIDE = 1 << 22
 
@@ -108,9 +108,9 @@ def visited(trees: list[Tree], points: np.ndarray, visits: int) -> np.ndarray:
     last = np.partition(away, visits - 1, axis=1)[:, visits - 1:visits]
     met = away <= last
     spare = np.count_nonzero(met, axis=1) - visits
-    many = np.flatnonzero(spare)
-    row, equal = np.nonzero(away[many] == last[many])
-    row, number, node = many[row], equal // leaves, equal % leaves + leaves - 1
+    row, equal = np.divmod(np.flatnonzero(away == last), away.shape[1])
+    row, equal = row[spare[row] > 0], equal[spare[row] > 0]
+    number, node = equal // leaves, equal % leaves + leaves - 1
     branch, climbs = np.zeros(len(row), dtype=np.int64), np.arange(len(row))
     margins = np.stack(margins) if len(row) else None
     while len(climbs):  # to the last step that led away from the point
@@ -146,14 +146,16 @@ def _raised(points: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([points, rest])
 
 
-def _unit(points: np.ndarray) -> np.ndarray:
-    points = points / np.abs(points).max(axis=1, keepdims=True)
-    return points / np.linalg.norm(points, axis=1, keepdims=True)
+def _unit(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths."""
+    peak = np.abs(points).max(axis=1, keepdims=True)
+    length = np.linalg.norm(points / peak, axis=1, keepdims=True)
+    return points / peak / length, (peak * length)[:, 0]
 
 
 def _directed(points: np.ndarray, top: float) -> np.ndarray:
     """In the raised space a query is a direction; only its own last component is 0."""
-    return np.column_stack([_unit(points) * top, np.zeros(len(points))])
+    return np.column_stack([_unit(points)[0] * top, np.zeros(len(points))])
 
 
 class Shard:
@@ -166,6 +168,7 @@ class Shard:
         self.ids = np.concatenate([x.flatten().to_numpy() for x in lists])
         self.sizes = np.concatenate([x.value_lengths().to_numpy() for x in lists]).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.twice = len(self.ids) - len(np.unique(self.ids))  # may make equal rows, which count once
         # Rough scores are for bounds only; single precision neither overflows nor vanishes in this range.
         kept = kind == "<f8" or 1e-15 < top < 1e15
         self.rough = self.data if kept else self.data.astype(np.float64)
@@ -176,8 +179,8 @@ class Shard:
         """Query number, id and score of the ``most`` best of each query, among the vectors that lie in a leaf
         which it met (all, if None)."""
         points, size, at = points.astype(np.float64), FIRST_CHUNK, 0
-        lengths, single = np.linalg.norm(points, axis=1), self.sizes == 1
-        rough_points = _unit(points).astype(self.rough.dtype)
+        rough_points, lengths = _unit(points)
+        rough_points, single = rough_points.astype(self.rough.dtype), self.sizes == 1
         error = (points.shape[1] + 8) * np.finfo(self.rough.dtype).eps
         rows = np.arange(len(self.data))
         if met is not None:
@@ -197,14 +200,14 @@ class Shard:
                     own = met[few]
                     out |= ~np.logical_or.reduce([own[:, leaf] for leaf in self.leaves[part].T])
                 rough[few] = np.where(out, -np.inf, rough[few])
-                if len(part) > most:
-                    least[few] = np.partition(rough[few], -most, axis=1)[:, -most] - 2 * slack
+                if len(part) >= (enough := most + self.twice):
+                    least[few] = np.partition(rough[few], -enough, axis=1)[:, -enough] - 2 * slack
             least = np.nextafter(least.astype(rough.dtype), rough.dtype.type(-np.inf))
             above = rough >= np.maximum(least, np.finfo(rough.dtype).min)[:, None]
             query, place = np.divmod(np.flatnonzero(above), len(part))
             vector = part[place]
             if met is not None:
-                own = met[query[:, None], self.leaves[vector]].any(axis=1)
+                own = met.ravel().take(query[:, None] * met.shape[1] + self.leaves[vector]).any(axis=1)
                 query, vector = query[own], vector[own]
             pairs.append((query, vector))
             at += size
@@ -249,9 +252,12 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
     item = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = "<f4" if item == "float" else "<f8"
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = vectors.select(F.col("vec_id").cast("long"), "embedding").where(
-        F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0))
-    shapes = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding").where(F.col("vec_id").isNotNull())
+
+    def valid(rows: DataFrame) -> DataFrame:
+        return rows.where(whole & F.exists("embedding", lambda x: x != 0))
+
+    shapes = valid(vectors).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     width = shapes[0]["n"] if shapes else 1
 
     def packed(batches):
@@ -261,12 +267,16 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
             data = [row.tobytes() for row in flat.reshape(-1, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["vec_id", "vector"])
 
-    points = stored(valid.where(F.size("embedding") == width).mapInArrow(
-        packed, "vec_id long, vector binary").distinct(), "vectors")
+    def points(rows: DataFrame) -> DataFrame:
+        return valid(rows).where(F.size("embedding") == width).mapInArrow(
+            packed, "vec_id long, vector binary").distinct()
+
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    filed = stored(points.withColumn("_place", place).where(F.col("_place") <= most + 1).groupBy("vector").agg(
+    filed = stored(points(vectors).withColumn("_place", place).where(F.col("_place") <= most + 1).groupBy("vector").agg(
         F.sort_array(F.collect_list("vec_id")).alias("ids")), "filed")  # at most ``most`` + 1 ids
-    count, queries = filed.count(), points.where(F.col("vec_id") % every == 0)
+    queries = stored(points(vectors.where(F.col("vec_id") % every == 0)).select(
+        F.col("vec_id").alias("query_id"), "vector"), "queries")
+    count, candidates = filed.agg(F.count("*"), F.sum(F.size("ids"))).first()
 
     def norms(batches):
         for batch in batches:
@@ -281,10 +291,10 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
     forest = Sent(vectors.sparkSession, [Tree(fitted, depth, rng) for _ in range(trees)])
     leaves = trees * 2 ** depth
     visits = max(1, int(np.ceil(leaves * share)))
-    block = int(np.clip(BLOCK_LEAVES // leaves, 1, BLOCK))
+    block, step = int(np.clip(BLOCK_LEAVES // leaves, 1, BLOCK)), max(16, SEARCH_LEAVES // leaves)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     most_rows = min(max(SHARD_ROWS, count // 8), max(1, SHARD_BYTES // (width * int(kind[-1]))))
-    shards = int(max(1, np.ceil(count / most_rows), min(np.ceil(np.sqrt(2 * cores)), count // FIRST_CHUNK)))
+    shards = int(max(1, np.ceil(count / most_rows), min(np.ceil(np.sqrt(2 * cores)), count // LEAF_ROWS)))
 
     def file(batches):
         grown = forest.load()
@@ -322,7 +332,7 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
                     ids, points = rows.column("ids").flatten().to_numpy(), _native(rows.column("vector"), kind)
                     met = None if all_leaves else np.concatenate([
                         visited(grown, _directed(points[i:i + step].astype(np.float64), top), visits)
-                        for step in [max(1, SEARCH_LEAVES // leaves)] for i in range(0, len(points), step)])
+                        for i in range(0, len(points), step)])
                     number, found, scores = shard.best(ids, points, met, most)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[number]), pa.array(-scores), pa.array(found)], names=["query_id", "lack", "vec_id"])
@@ -343,10 +353,9 @@ def nearest(vectors: DataFrame, most: int = NEAREST, every: int = 20, trees: int
         return scored.withColumn("rank", rank).where(F.col("rank") <= most).distinct().select(
             "query_id", "rank", "vec_id", (-F.col("lack")).alias("score"))
 
-    asked = queries.select(F.col("vec_id").alias("query_id"), "vector")
-    met = stored(best_of(asked, all_leaves=False), "met")
-    least = min(most, points.count() - 1)
-    short = stored(asked.join(met.groupBy("query_id").agg(F.max("rank").alias("_met")), "query_id", "left").where(
+    met = stored(best_of(queries, all_leaves=False), "met")
+    least = min(most, (candidates or 0) - 1)
+    short = stored(queries.join(met.groupBy("query_id").agg(F.max("rank").alias("_met")), "query_id", "left").where(
         F.coalesce("_met", F.lit(0)) < least).select("query_id", "vector"), "short")
     if not short.isEmpty():
         met = met.join(short.select("query_id"), "query_id", "left_anti").unionByName(best_of(short, all_leaves=True))

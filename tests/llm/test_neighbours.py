@@ -118,7 +118,7 @@ def test_a_shard_scores_a_pair_once_and_lists_the_best_met(monkeypatch, kind, sc
     points = rng.integers(-3, 4, (1200, 6)) + rng.choice([0.0, 0.5], (1200, 6))  # many equal scores
     points[0], points = 1.0, (points * rng.choice([1, 1, 20], (1200, 1)) * scale).astype(kind)
     points = np.unique(points[(points != 0).any(axis=1)], axis=0)
-    ids = [sorted(rng.choice(2000, rng.integers(1, 4), replace=False).tolist()) for _ in points]
+    ids = [sorted(rng.choice(300, rng.integers(1, 4), replace=False).tolist()) for _ in points]
     leaves = np.column_stack([rng.integers(0, 16, len(points)) + 16 * t for t in range(3)]).astype("<i4")
     shard = neighbours.Shard([pa.RecordBatch.from_arrays(
         [pa.array([p.tobytes() for p in points]), pa.array([x.tobytes() for x in leaves]), pa.array(ids, pa.list_(pa.int64()))],
@@ -151,3 +151,9 @@ def test_time_does_not_grow_with_the_square_of_the_leaves_met(spark, monkeypatch
     assert len(rows) == 3000 * 20
     near = {q: {i for i, _ in exact(points, q)} for q in range(0, 50, 2)}
     assert sum(r["vec_id"] in near[r["query_id"]] for r in rows if r["query_id"] in near) >= 0.9 * 25 * 20
+
+
+def test_vectors_of_one_id_with_one_score_leave_room(spark):
+    rows = [(0, [1.0, 0.0])] + [(5, [2.0, float(i)]) for i in range(1, 31)] + [(100 + i, [1.0, float(i)]) for i in range(1, 41)]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1000).collect()
+    assert sorted(map(tuple, found)) == [(0, 1, 5, 2.0)] + [(0, k, 99 + k, 1.0) for k in range(2, 21)]
